@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets
+from . import decontaminate, knn, secrets, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_knn": knn.op2_knn,
     "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
+    "op2_knn": knn.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
