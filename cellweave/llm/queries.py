@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, knn, secrets, warc
+from . import decontaminate, knn, pii, secrets, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_knn": knn.op2_knn,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_pii": pii.op7_pii,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_warc": warc.op10_warc,
 }
