@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, knn, pii, secrets, toxicity, warc
+from . import decontaminate, knn, pii, secrets, tokenfile, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_knn": knn.op2_knn,
+    "op4_token_files": tokenfile.op4_token_files,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_pii": pii.op7_pii,
     "op9_secret_scan": secrets.op9_secret_scan,
