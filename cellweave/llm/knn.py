@@ -112,7 +112,7 @@ def knn_join(data: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
             ids = b["id"].to_numpy()
             yield pd.DataFrame({"g": gid[g], "block": ((ids[r] ^ (ids[r] >> 7)) % blocks).astype(np.int32), "id": ids[r], "v": b["v"].to_numpy()[r]})
 
-    def solve(key, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def solve(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows):
             ids, x = rows["id"].to_numpy(), _unpack(rows["v"], kind)

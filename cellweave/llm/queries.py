@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, knn, pii, secrets, tokenfile, toxicity, warc
+from . import decontaminate, jaccard, knn, pii, secrets, tokenfile, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_knn": knn.op2_knn,
     "op4_token_files": tokenfile.op4_token_files,
+    "op5_jaccard": jaccard.op5_jaccard,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_pii": pii.op7_pii,
     "op9_secret_scan": secrets.op9_secret_scan,
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLES = {
     "op1_decontaminate": decontaminate.ORACLE,
     "op2_knn": knn.ORACLE,
+    "op5_jaccard": jaccard.ORACLE,
     "op10_warc": warc.ORACLE,
 }

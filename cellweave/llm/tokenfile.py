@@ -338,7 +338,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, last: int =
                 ids += enc([t or "" for t in b["t"].iloc[at : at + 500]], last)
             yield pd.DataFrame({"file": file, "d": d.astype("Int64"), "ids": ids})
 
-    def pack(key, g: pd.DataFrame) -> pd.DataFrame:
+    def pack(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["d", "ids"], na_position="first")
         names = [None if pd.isna(x) else int(x) for x in g["d"]]
         data = pack_file(names, [np.frombuffer(x, "<u2") for x in g["ids"]])
