@@ -49,6 +49,54 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def text_map(docs: DataFrame, keep: dict[str, str], text: str, out: str, setup, rows: int = 500) -> DataFrame:
+    """Columns ``keep`` (name: new name) as they are, and what a function makes of the texts.
+
+    ``setup()`` runs once in a task and returns ``fn(texts) -> lists, one for
+    each field of out``; null texts reach it as "". The kept columns stay in
+    Arrow, so nulls and 64-bit integers come through exactly.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    made = StructType.fromDDL(out)
+    source = docs.select(*[F.col(c).alias(n) for c, n in keep.items()], F.col(text).alias("_text"))
+    schema = StructType([f for f in source.schema.fields[:-1]] + made.fields)
+    arrow = to_arrow_schema(schema)
+    k = len(keep)
+
+    def run(batches):
+        import pyarrow as pa
+
+        fn = setup()
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                columns = fn([t or "" for t in b.column(k).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).cast(arrow.field(i).type) for i in range(k)), *(pa.array(c, arrow.field(k + i).type) for i, c in enumerate(columns))], schema=arrow)
+
+    return source.mapInArrow(run, schema)
+
+
+def rewrite_texts(docs: DataFrame, text: str, setup, rows: int = 500) -> DataFrame:
+    """``docs`` with texts replaced or rows dropped, all columns as they are otherwise. ``setup()`` returns ``fn(texts) -> (kept flags or None, new texts or None)``."""
+    k = docs.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        fn = setup()
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                b = whole.slice(at, rows)
+                flags, texts = fn(b.column(k).to_pylist())
+                if texts is not None:
+                    b = b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type))
+                yield b if flags is None else b.filter(pa.array(flags, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def semi_join(df: DataFrame, ids: DataFrame, key: str, bound: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids``: broadcast while ``ids`` (counted) is small, shuffled beyond."""
     small = ids.limit(bound + 1).count() <= bound

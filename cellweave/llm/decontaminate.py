@@ -36,8 +36,8 @@ def _small(df: DataFrame, bound: int) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """_d and _h identify a text; rows that repeat both are the same document and get the same answer."""
-    return docs.select(F.col(doc_id).alias("_d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"), words_of(F.col(text)).alias("_w"))
+    """_d and _h identify a text; rows that repeat both are the same document and get the same answer. _row: the row itself."""
+    return docs.select(F.col(doc_id).alias("_d"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"), words_of(F.col(text)).alias("_w"), F.struct(*docs.columns).alias("_row"))
 
 
 def item_table(items: DataFrame, item_id: str = "item_id", text: str = "text", n: int = 10) -> DataFrame:
@@ -70,13 +70,14 @@ def _planned(items: DataFrame, counts: DataFrame) -> DataFrame:
     return each.groupBy("iid").agg(F.collect_list(win).alias("wins"))
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", bound: int = BROADCAST_ROWS) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", bound: int = BROADCAST_ROWS, rows: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit (words inside any occurrence of a window), ``items`` (sorted ids as strings) and ``spans`` (item_id, start, end in words, end exclusive).
 
     Null and empty texts have no words and no hits. Items without words match
     nothing; items with a null id hit words but aren't listed. Rows that repeat
     a doc_id are answered by their own texts. Repeated items count once. Extra
-    columns are ignored, whatever their names.
+    columns are ignored, whatever their names; ``rows`` adds the whole row of
+    ``docs`` as ``_row``.
     """
     table = item_table(items, item_id, item_text, n)
     vocabulary = materialize(table.select(F.explode("words").alias("term")).distinct(), "vocabulary")
@@ -108,7 +109,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: s
         )
     )
     none = F.array().cast(f"array<struct<start:int,end:int,item_id:{dict(plan.dtypes)['item_id']}>>")
-    out = both.select(F.col("_d").alias(doc_id), F.size("_w").cast("long").alias("n_words"), F.when(F.col("al").isNull(), none).otherwise(F.sort_array(spans)).alias("spans"))
+    own = ["_row"] * rows
+    out = both.select(*own, F.col("_d").alias(doc_id), F.size("_w").cast("long").alias("n_words"), F.when(F.col("al").isNull(), none).otherwise(F.sort_array(spans)).alias("spans"))
     covered = F.aggregate(
         "spans",
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto")),
@@ -119,7 +121,12 @@ def find_contamination(docs: DataFrame, items: DataFrame, n: int = 10, doc_id: s
         lambda acc: acc["n"],
     )
     ids = F.array_sort(F.array_distinct(F.filter(F.transform("spans", lambda x: x["item_id"].cast("string")), lambda x: x.isNotNull())))
-    return out.select(doc_id, "n_words", covered.alias("n_hit"), ids.alias("items"), "spans")
+    return out.select(*own, doc_id, "n_words", covered.alias("n_hit"), ids.alias("items"), "spans")
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold no window of any item."""
+    return find_contamination(docs, items, n, rows=True).filter("n_hit = 0").select("_row.*")
 
 
 def find_proximity(docs: DataFrame, items: DataFrame, within: int = 10, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", bound: int = BROADCAST_ROWS) -> DataFrame:

@@ -22,10 +22,11 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_map
+
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 #: Words that a worker keeps; words longer than this are solved one by one.
@@ -253,30 +254,34 @@ def encode(docs: DataFrame, model_path: str, n: int = 1, doc_id: str = "doc_id",
     run. Repeated rows are answered alike, extra columns ignored.
     """
     segmenter = _load(docs.sparkSession, model_path)
-    kind = dict(docs.dtypes)[doc_id]
 
-    def run(batches):
+    def setup():
         seg = segmenter()
-        for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                found = seg.encode([t or "" for t in part["t"]], n)
-                yield pd.DataFrame({doc_id: part["d"], "ids": [x[0][1] for x in found], "scores": [[s for s, _ in x] for x in found], "others": [[y.tolist() for _, y in x[1:]] for x in found]})
 
-    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInPandas(run, f"{doc_id} {kind}, ids array<int>, scores array<long>, others array<array<int>>")
+        def work(texts):
+            found = seg.encode(texts, n)
+            return [x[0][1] for x in found], [[s for s, _ in x] for x in found], [[y.tolist() for _, y in x[1:]] for x in found]
+
+        return work
+
+    return text_map(docs, {doc_id: doc_id}, text, "ids array<int>, scores array<long>, others array<array<int>>", setup)
 
 
 def decode(encoded: DataFrame, model_path: str, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Row by row (doc_id, text) from ids; null ids give a null text. The space mark itself comes back as a space."""
     segmenter = _load(encoded.sparkSession, model_path)
-    kind = dict(encoded.dtypes)[doc_id]
+    source = encoded.select(F.col(doc_id).alias(doc_id), F.col(ids).alias("_ids"))
+    schema = f"{doc_id} {dict(encoded.dtypes)[doc_id]}, text string"
 
     def run(batches):
+        import pyarrow as pa
+
         seg = segmenter()
         for b in batches:
-            yield pd.DataFrame({doc_id: b["d"], "text": [None if x is None else seg.decode(x.tolist()) for x in b["i"]]})
+            texts = [None if x is None else seg.decode(x) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[doc_id, "text"])
 
-    return encoded.select(F.col(doc_id).alias("d"), F.col(ids).alias("i")).mapInPandas(run, f"{doc_id} {kind}, text string")
+    return source.mapInArrow(run, schema)
 
 
 def model_path() -> str:
@@ -288,25 +293,22 @@ def model_path() -> str:
 def encode_and_check(docs: DataFrame, path: str, n: int = 4, ids: bool = False) -> DataFrame:
     """(doc_id, n_pieces, ids_crc32, score, gap, n_best, round_trip): digests of the n best, and whether decoding the best gives the text back. ``ids`` adds them."""
     segmenter = _load(docs.sparkSession, path)
-    schema = "doc_id long, n_pieces long, ids_crc32 long, score long, gap long, n_best int, round_trip boolean" + ", ids array<int>" * ids
 
-    def run(batches):
+    def setup():
         seg = segmenter()
-        for b in batches:
-            for at in range(0, len(b), 500):
-                part = b.iloc[at : at + 500]
-                texts = [t or "" for t in part["text"]]
-                found = seg.encode(texts, n)
-                out = pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy(), "n_pieces": [len(x[0][1]) for x in found], "ids_crc32": [zlib.crc32(x[0][1].tobytes()) for x in found],
-                    "score": [x[0][0] for x in found], "gap": pd.array([x[0][0] - x[1][0] if len(x) > 1 else None for x in found], "Int64"), "n_best": [len(x) for x in found],
-                    "round_trip": [seg.decode(x[0][1].tolist()) == t.replace(SPACE, " ") for x, t in zip(found, texts)],
-                })
-                if ids:
-                    out["ids"] = [x[0][1] for x in found]
-                yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+
+        def work(texts):
+            found = seg.encode(texts, n)
+            best = [x[0][1] for x in found]
+            return [
+                [len(x) for x in best], [zlib.crc32(x.tobytes()) for x in best], [x[0][0] for x in found],
+                [x[0][0] - x[1][0] if len(x) > 1 else None for x in found], [len(x) for x in found],
+                [seg.decode(x.tolist()) == t.replace(SPACE, " ") for x, t in zip(best, texts)], *([best] if ids else []),
+            ]
+
+        return work
+
+    return text_map(docs, {"doc_id": "doc_id"}, "text", "n_pieces long, ids_crc32 long, score long, gap long, n_best int, round_trip boolean" + ", ids array<int>" * ids, setup)
 
 
 def op3_pieces(spark, sf_dir, path: str | None = None):

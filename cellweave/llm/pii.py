@@ -9,14 +9,14 @@ numpy batches.
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import rewrite_texts, text_map
+
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. An address is found from its @, which is the same as leftmost search and linear.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -321,49 +321,39 @@ def scan_pii(docs: DataFrame, field: Field | None = None, doc_id: str = "doc_id"
     """
     field = field or train(labelled_table())
     kind = "array<struct<kind:string,start:int,end:int>>"
-    schema = f"{doc_id} {dict(docs.dtypes)[doc_id]}, base {kind}, spans {kind}"
     named = lambda a: [{"kind": KINDS[k], "start": s, "end": e} for k, s, e in a]
 
-    def run(batches):
-        for b in batches:
-            found = find_pii([t or "" for t in b["t"]], field)
-            yield pd.DataFrame({doc_id: b["d"], "base": [named(x) for x, _ in found], "spans": [named(x) for _, x in found]})
+    def work(texts):
+        found = find_pii(texts, field)
+        return [named(x) for x, _ in found], [named(x) for _, x in found]
 
-    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return text_map(docs, {doc_id: doc_id}, text, f"base {kind}, spans {kind}", lambda: work)
 
 
 def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, and ``n_chars`` brought up to date."""
     field = field or train(labelled_table())
 
-    def run(batches):
-        for b in batches:
-            texts = []
-            for t, (_, spans) in zip(b["text"], find_pii([t or "" for t in b["text"]], field)):
-                parts, at = [], 0
-                for k, start, end in sorted(spans, key=lambda x: x[1:]):
-                    if start >= at:
-                        parts += [t[at:start], f"[{KINDS[k].upper()}]"]
-                    at = max(at, end)
-                texts.append("".join([*parts, t[at:]]) if spans else t)
-            yield b.assign(text=texts)
+    def work(texts):
+        out = []
+        for t, (_, spans) in zip(texts, find_pii([t or "" for t in texts], field)):
+            parts, at = [], 0
+            for k, start, end in sorted(spans, key=lambda x: x[1:]):
+                if start >= at:
+                    parts += [t[at:start], f"[{KINDS[k].upper()}]"]
+                at = max(at, end)
+            out.append("".join([*parts, t[at:]]) if spans else t)
+        return None, out
 
-    return docs.mapInPandas(run, docs.schema).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return rewrite_texts(docs, "text", lambda: work).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
 
 
 def op7_pii(spark, sf_dir):
     field = train(labelled_table())
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
-    def run(batches):
-        say = lambda a: ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in a)
-        for b in batches:
-            found = find_pii([t or "" for t in b["text"]], field)
-            out = pd.DataFrame({"doc_id": b["doc_id"]})
-            for k, name in enumerate(KINDS):
-                out[f"n_{name}"] = [sum(x[0] == k for x in base) for base, _ in found]
-            out["base_sha256"] = [hashlib.sha256(say(base).encode()).hexdigest() for base, _ in found]
-            out["spans"] = [say(spans) for _, spans in found]
-            yield out
-
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    found = scan_pii(docs, field)
+    say = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(say("base"), 256).alias("base_sha256"), say("spans").alias("spans"))

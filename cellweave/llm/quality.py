@@ -145,8 +145,11 @@ def perplexity(docs: DataFrame, model: dict[str, np.ndarray], doc_id: str = "doc
     tables = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
+        import pyarrow as pa
+
         held = tables.value
-        for b in batches:
+        for whole in batches:
+            b = whole.select([1, 2]).to_pandas()
             names = b["lang"].to_numpy()
             out = np.full(len(b), np.nan)
             for name in dict.fromkeys(names):
@@ -158,10 +161,10 @@ def perplexity(docs: DataFrame, model: dict[str, np.ndarray], doc_id: str = "doc
                     total = np.concatenate([[0], np.cumsum(lp[code], dtype=np.float64)])
                     ends = np.cumsum(n)
                     out[rows[i:j]] = np.exp(-(total[ends] - total[ends - n]) / np.where(n > 0, n, np.nan))
-            yield pd.DataFrame({doc_id: b["d"], "lang": b["lang"], "perplexity": pd.array(np.where(np.isnan(out), None, out), "Float64")})
+            yield pa.RecordBatch.from_arrays([whole.column(0), whole.column(1), pa.array(out, mask=np.isnan(out))], names=[doc_id, "lang", "perplexity"])
 
     kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("d"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("t")).mapInPandas(run, f"{doc_id} {kind}, lang string, perplexity double")
+    return docs.select(F.col(doc_id).alias("d"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("t")).mapInArrow(run, f"{doc_id} {kind}, lang string, perplexity double")
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.98, doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:

@@ -11,11 +11,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, rewrite_texts, text_map
 
 #: Bounds of the sample that the model is fitted on: documents of each label, and characters in all.
 FIT_DOCS, FIT_CHARS = 3000, 24_000_000
@@ -121,54 +120,54 @@ def _scorer(model: dict):
     return sentence_logits
 
 
+def _noisy_or(logits: np.ndarray) -> float:
+    return float(-np.expm1(-np.logaddexp(0, logits).sum())) if len(logits) else 0.0
+
+
 def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` row by row as (doc_id, score): the noisy-or of its sentences.
 
     A null or empty text, or one without words, has no sentences and scores
     0. Repeated rows are scored alike, extra columns ignored.
     """
-    schema = f"{doc_id} {dict(docs.dtypes)[doc_id]}, score double"
 
-    def run(batches):
+    def setup():
         logits = _scorer(model)
-        for b in batches:
-            a = [float(np.logaddexp(0, logits(t)).sum()) if t else 0.0 for t in b["t"]]
-            yield pd.DataFrame({doc_id: b["d"], "score": -np.expm1(-np.array(a, float))})
+        return lambda texts: [[_noisy_or(logits(t)) for t in texts]]
 
-    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return text_map(docs, {doc_id: doc_id}, text, "score double", setup)
 
 
 def offending(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """(doc_id, start, end, sentence, score) of sentences that score ``least`` or more; ends exclusive, in code points."""
-    schema = f"{doc_id} {dict(docs.dtypes)[doc_id]}, start long, end long, sentence string, score double"
     part = re.compile(r"[^.!?\n]+")
 
-    def run(batches):
+    def setup():
         logits = _scorer(model)
-        for b in batches:
+
+        def locate(t: str) -> list[dict]:
             out = []
-            for d, t in zip(b["d"], b["t"]):
-                for m in part.finditer(t or ""):
-                    z = logits(m[0])
-                    if len(z) and (p := 1 / (1 + np.exp(-z[0]))) >= least:
-                        out.append((d, m.start(), m.end(), m[0], float(p)))
-            yield pd.DataFrame(out, columns=[doc_id, "start", "end", "sentence", "score"])
+            for m in part.finditer(t):
+                z = logits(m[0])
+                if len(z) and (p := _noisy_or(z)) >= least:
+                    out.append({"start": m.start(), "end": m.end(), "sentence": m[0], "score": p})
+            return out
+
+        return lambda texts: [[locate(t) for t in texts]]
 
-    return docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).mapInPandas(run, schema)
+    found = text_map(docs, {doc_id: doc_id}, text, "found array<struct<start:long,end:long,sentence:string,score:double>>", setup)
+    return found.select(doc_id, F.explode("found").alias("f")).select(doc_id, "f.*")
 
 
 def filter_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below ``threshold``."""
     model = fit(docs, labels)
-    schema = docs.schema
 
-    def run(batches):
+    def setup():
         logits = _scorer(model)
-        for b in batches:
-            a = np.array([float(np.logaddexp(0, logits(t)).sum()) if t else 0.0 for t in b["text"]], float)
-            yield b[-np.expm1(-a) < threshold]
+        return lambda texts: ([_noisy_or(logits(t or "")) < threshold for t in texts], None)
 
-    return docs.mapInPandas(run, schema)
+    return rewrite_texts(docs, "text", setup)
 
 
 def op6_toxicity(spark, sf_dir):
