@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import text_map
 
 SPACE = "▁"
-WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
+WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
 #: Words that a worker keeps; words longer than this are solved one by one.
 CACHE, LONG = 400_000, 48
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -66,8 +66,8 @@ class Segmenter:
         for k in range(1, self.longest + 1):
             rows = sorted(by_len.get(k, []))
             self.tables.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows], np.int64)))
-        self.words: dict[str, tuple[bytes, int, int]] = {}
         self.lists: dict[tuple[str, int], list] = {}
+        self._clear()
 
     @staticmethod
     def _hash(s: str) -> np.uint64:
@@ -126,85 +126,122 @@ class Segmenter:
 
     # --- many words -------------------------------------------------------------
 
-    def _solve(self, words: list[str]) -> None:
-        """Cache (ids as int32 bytes, best score, gap to the second best or -1) of new words."""
+    def _clear(self) -> None:
+        """Forget the solved words: their slots, and by slot where the ids start, how many there are, the score and the gap to the second best (-1: none)."""
+        self.slot: dict[str, int] = {}
+        self.start, self.size, self.score, self.gap = (np.empty(0, np.int64) for _ in range(4))
+        self.flat = np.empty(0, np.int32)
+        self.lists.clear()
+
+    def _solve(self, keys: list[str]) -> None:
         by_len: dict[int, list[str]] = {}
-        for w in words:
-            by_len.setdefault(len(w), []).append(w)
-        for size, group in by_len.items():
-            if size > LONG:
-                for w in group:
-                    two = self.nbest_word(w, 2)
-                    self.words[w] = (np.array(two[0][1], np.int32).tobytes(), two[0][0], two[0][0] - two[1][0] if len(two) > 1 else -1)
-                continue
+        for w in keys:
+            by_len.setdefault(len(self.word_of(w)), []).append(w)
+        done = []
+        for group in by_len.values():
             for at in range(0, len(group), 4096):
-                self._solve_equal(group[at : at + 4096], size)
-
-    def _solve_equal(self, words: list[str], size: int) -> None:
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), size).astype(np.uint64) + np.uint64(1)
-        found, h = [], np.zeros((len(words), size), np.uint64)
-        for k in range(1, min(self.longest, size) + 1):
+                done += self._solve_equal(group[at : at + 4096])
+        n = np.concatenate([d[2] for d in done]) if done else np.empty(0, np.int64)
+        base = len(self.flat)
+        self.flat = np.concatenate([self.flat, *(d[1] for d in done)])
+        for w in itertools.chain.from_iterable(d[0] for d in done):
+            self.slot[w] = len(self.slot)
+        self.start = np.concatenate([self.start, base + np.cumsum(n) - n])
+        self.size = np.concatenate([self.size, n])
+        self.score = np.concatenate([self.score, *(d[3] for d in done)])
+        self.gap = np.concatenate([self.gap, *(d[4] for d in done)])
+
+    def _one_by_one(self, keys: list[str]):
+        two = [self.nbest_word(self.word_of(w), 2) for w in keys]
+        ids = np.array([i for t in two for i in t[0][1]], np.int32)
+        return keys, ids, np.array([len(t[0][1]) for t in two], np.int64), np.array([t[0][0] for t in two], np.int64), np.array([t[0][0] - t[1][0] if len(t) > 1 else -1 for t in two], np.int64)
+
+    def _solve_equal(self, keys: list[str]) -> list[tuple]:
+        """(keys, their ids in a row, numbers of ids, scores, gaps) of words of one length."""
+        words = [self.word_of(w) for w in keys]
+        size, rows = len(words[0]), len(words)
+        if size > LONG:
+            return [self._one_by_one(keys)]
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(rows, size).astype(np.uint64) + np.uint64(1)
+        top = min(self.longest, size)
+        ids, scores = np.full((top, size, rows), -1, np.int32), np.full((top, size, rows), NONE)
+        h = np.zeros((rows, size), np.uint64)
+        for k in range(1, top + 1):
             h = h[:, : size - k + 1] * _P + codes[:, k - 1 :]
-            keys, ids, scores = self.tables[k - 1]
-            if not len(keys):
-                found.append((np.full(h.shape, -1, np.int32), np.full(h.shape, NONE)))
-                continue
-            pos = np.minimum(np.searchsorted(keys, h.ravel()), len(keys) - 1).reshape(h.shape)
-            ok = keys[pos] == h
-            found.append((np.where(ok, ids[pos], -1), np.where(ok, scores[pos], NONE)))
-        for row, col in np.argwhere(found[0][0] < 0):
-            found[0][1][row, col] = self.fallback(words[row][col])[1]
-        one = np.full((size + 1, len(words)), NONE)
-        two, length = one.copy(), np.zeros((size + 1, len(words)), np.int64)
+            hashes, own, cost = self.tables[k - 1]
+            if len(hashes):
+                pos = np.minimum(np.searchsorted(hashes, h.ravel()), len(hashes) - 1).reshape(h.shape)
+                ok = hashes[pos] == h
+                ids[k - 1, : size - k + 1] = np.where(ok, own[pos], -1).T
+                scores[k - 1, : size - k + 1] = np.where(ok, cost[pos], NONE).T
+        wide = np.zeros(rows, bool)  # words with a character that takes several byte pieces
+        for col, row in np.argwhere(ids[0] < 0):
+            own, cost = self.fallback(words[row][col])
+            scores[0, col, row] = cost
+            ids[0, col, row] = own[0]
+            wide[row] |= len(own) > 1
+        one = np.full((size + 1, rows), NONE)
+        two, length = one.copy(), np.zeros((size + 1, rows), np.int64)
         one[0] = 0
         for end in range(1, size + 1):
             a, b, pick = one[end], two[end], length[end]
-            for k in range(1, min(self.longest, end) + 1):
-                s = found[k - 1][1][:, end - k]
+            for k in range(1, min(top, end) + 1):
+                s = scores[k - 1, end - k]
                 x, y = one[end - k] + s, two[end - k] + s
                 better = x > a
                 b[:] = np.maximum(np.where(better, np.maximum(a, y), np.maximum(b, x)), NONE)
                 pick[better] = k
                 a[:] = np.maximum(a, x)
-        for row, w in enumerate(words):
-            ids: list[int] = []
-            end = size
-            while end:
-                k = int(length[end, row])
-                i = int(found[k - 1][0][row, end - k])
-                ids[:0] = (i,) if i >= 0 else self.fallback(w[end - 1])[0]
-                end -= k
-            gap = int(one[size, row] - two[size, row]) if two[size, row] > NONE // 2 else -1
-            self.words[w] = (np.array(ids, np.int32).tobytes(), int(one[size, row]), gap)
+        every = np.arange(rows)
+        end, back = np.full(rows, size), []
+        while end.any():  # all words at once, from their ends
+            k = length[end, every]
+            back.append(np.where(end > 0, ids[np.maximum(k - 1, 0), np.maximum(end - np.maximum(k, 1), 0), every], -1))
+            end = end - k
+        path = np.stack(back[::-1], 1)
+        keep = path >= 0
+        gap = np.where(two[size] > NONE // 2, one[size] - two[size], -1)
+        fine = ~wide
+        out = [([w for w, f in zip(keys, fine) if f], path[fine][keep[fine]], keep[fine].sum(1), one[size][fine], gap[fine])]
+        return out + ([self._one_by_one([w for w, f in zip(keys, fine) if not f])] if wide.any() else [])
+
+    @staticmethod
+    def word_of(key: str) -> str:
+        """Keys leave out the space mark in front; those that start with a line end have none."""
+        return key if key[:1] == "\n" else SPACE + key
 
     def split(self, text: str) -> list[str]:
-        """The words of a text, with the mark that SentencePiece puts in front; none for an empty text."""
-        return WORD.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """Keys of a text's words, with the mark that SentencePiece puts in front; none for an empty text."""
+        if not text:
+            return []
+        if text[0] != " " and "  " not in text and SPACE not in text:
+            return text.replace("\n", " \n").split(" ")
+        return [w[1:] if w[0] == SPACE else w for w in WORD.findall(SPACE + text.replace(" ", SPACE))]
 
     def encode(self, texts: list[str], n: int = 1) -> list[list[tuple[int, np.ndarray]]]:
         """The n best (score, ids) of each text, best first."""
         cut = [self.split(t) for t in texts]
         every = set().union(*cut)
-        new = every.difference(self.words)
-        if len(self.words) + len(new) > CACHE:
-            self.words.clear()
-            self.lists.clear()
+        new = every.difference(self.slot)
+        if len(self.slot) + len(new) > CACHE:
+            self._clear()
             new = every
         self._solve(list(new))
-        get = self.words.__getitem__
+        get = self.slot.__getitem__
         out = []
         for words in cut:
-            rows = [get(w) for w in words]
-            parts, score = [r[0] for r in rows], sum([r[1] for r in rows])
-            best = (score, np.frombuffer(b"".join(parts), np.int32))
-            out.append([best] + (self._others(words, rows, parts, score, n) if n > 1 and words else []))
+            at = np.fromiter(map(get, words), np.int64, len(words))
+            size = self.size[at]
+            ends = np.cumsum(size)
+            ids = self.flat[np.repeat(self.start[at] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
+            score = int(self.score[at].sum())
+            out.append([(score, ids)] + (self._others(words, self.gap[at], ids, ends, size, score, n) if n > 1 and words else []))
         return out
 
-    def _others(self, words, rows, parts, score: int, n: int) -> list[tuple[int, np.ndarray]]:
+    def _others(self, words, gaps: np.ndarray, ids: np.ndarray, ends, size, score: int, n: int) -> list[tuple[int, np.ndarray]]:
         """The 2nd to n-th best. At most n - 1 words can differ in them, those with the smallest gaps."""
-        gaps = np.array([r[2] for r in rows], np.int64)
-        gaps[gaps < 0] = 1 << 60
-        near = np.argsort(gaps, kind="stable")[: n - 1] if len(gaps) <= 64 else np.lexsort((np.arange(len(gaps)), gaps))[: n - 1]
+        gaps = np.where(gaps < 0, 1 << 60, gaps)
+        near = np.argpartition(gaps, n - 1)[: n - 1] if len(gaps) > n else np.arange(len(gaps))
         combos: list[tuple[int, tuple]] = [(0, ())]
         for k in near.tolist():
             if gaps[k] >= 1 << 60:
@@ -213,16 +250,17 @@ class Segmenter:
             if key not in self.lists:
                 if len(self.lists) > CACHE // 4:
                     self.lists.clear()
-                self.lists[key] = self.nbest_word(words[k], n)
+                self.lists[key] = self.nbest_word(self.word_of(words[k]), n)
             options = self.lists[key]
             top = options[0][0]
-            combos = heapq.nsmallest(n, [(lost + top - s, changed + ((k, ids),) if r else changed) for lost, changed in combos for r, (s, ids) in enumerate(options)], key=lambda c: c[0])
+            combos = heapq.nsmallest(n, [(lost + top - s, changed + ((k, own),) if r else changed) for lost, changed in combos for r, (s, own) in enumerate(options)], key=lambda c: c[0])
         out = []
         for lost, changed in combos[1:n]:
-            own = list(parts)
-            for k, ids in changed:
-                own[k] = np.array(ids, np.int32).tobytes()
-            out.append((score - lost, np.frombuffer(b"".join(own), np.int32)))
+            parts, at = [], 0
+            for k, own in sorted(changed):
+                parts += [ids[at : ends[k] - size[k]], np.array(own, np.int32)]
+                at = ends[k]
+            out.append((score - lost, np.concatenate([*parts, ids[at:]])))
         return out
 
     def decode(self, ids) -> str:
