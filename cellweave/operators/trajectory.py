@@ -27,7 +27,7 @@ def segments(points: DataFrame, gap: float = 120, least: float = 30, last_only:
     fine = (F.col("_n") > 1) & (F.col("_span") > least)
     if last_only:
         fine = fine | (F.col("seg") < F.max("seg").over(Window.partitionBy(id_col)))
-    return cut.filter(fine).drop("_n", "_span")
+    return cut.withColumn("_fine", fine).filter("_fine").drop("_n", "_span", "_fine")
 
 
 def chunks(points: DataFrame, order_by: list[str], size: int = 5, id_col: str = "id") -> DataFrame:

@@ -32,7 +32,7 @@ GRID = """g AS (SELECT CAST(d.i AS BIGINT) AS i, CAST(d.j AS BIGINT) AS j, coale
   LEFT JOIN (SELECT l_orderkey % 32 AS i, l_partkey % 32 AS j, CAST(sum(l_quantity) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2) x ON d.i = x.i AND d.j = x.j)"""
 GRID2 = """h AS (SELECT CAST(d.i AS BIGINT) AS i, CAST(d.j AS BIGINT) AS j, coalesce(x.v, 0.0) AS v FROM (SELECT a.range AS i, b.range AS j FROM range(32) a, range(32) b) d
   LEFT JOIN (SELECT l_orderkey % 32 AS i, l_suppkey % 32 AS j, CAST(sum(CAST(round(l_extendedprice) AS BIGINT)) AS DOUBLE) AS v FROM lineitem GROUP BY 1, 2) x ON d.i = x.i AND d.j = x.j)"""
-GENES = "e AS (SELECT CAST(vec_id AS BIGINT) AS i, CAST(p AS BIGINT) - 1 AS j, CAST(floor(1000 * (CAST(embedding[p] AS DOUBLE) + 1)) AS DOUBLE) AS v FROM embeddings, range(1, 65) t(p))"
+GENES = "e AS (SELECT i, j, CAST(floor((y * y * y) * (y * y * y) * 1000) AS DOUBLE) AS v FROM (SELECT CAST(vec_id AS BIGINT) AS i, CAST(p AS BIGINT) - 1 AS j, CAST(embedding[p] AS DOUBLE) + 1 AS y FROM embeddings, range(1, 65) t(p)))"
 LABELS = """o AS (SELECT o_orderkey AS i, CASE o_orderstatus WHEN 'F' THEN 'Y' WHEN 'O' THEN 'N' ELSE 'NA' END AS cls, o_orderpriority AS pri, c_mktsegment AS seg,
   CASE WHEN o_totalprice > 150000 THEN 'high' ELSE 'low' END AS price FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
@@ -62,7 +62,9 @@ def grid2(spark, sf) -> CellArray:
 def genes(spark, sf) -> CellArray:
     e = table(spark, sf, "embeddings")
     n = e.agg(F.max("vec_id")).first()[0] + 1
-    df = e.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "x")).select("i", "j", F.floor((F.col("x").cast("double") + 1) * 1000).cast("double").alias("v"))
+    df = e.select(F.col("vec_id").alias("i"), F.posexplode("embedding").alias("j", "x")).select("i", "j", (F.col("x").cast("double") + 1).alias("y"))
+    cube = F.col("y") * F.col("y") * F.col("y")
+    df = df.select("i", "j", F.floor(cube * cube * 1000).cast("double").alias("v"))
     return CellArray(df, ArrayMeta(n, 64))
 
 

@@ -15,7 +15,7 @@ def read_tsv_matrix(spark: SparkSession, path: str, replicate: int = 1, keep: in
     Row numbers follow the file: lines are numbered by file offset order within
     one file, so a matrix is one file. Blank fields stay empty strings.
     """
-    text = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("line", "text"))
+    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("line", "text"))
     rows = text.filter("line > 0 AND text <> ''").select((F.col("line") - 1).cast("long").alias("i"), F.split("text", "\t", -1).alias("f"))
     cells = written(rows.select("i", F.posexplode("f").alias("j", "v")), "tsv")
     shape = cells.agg(F.max("i"), F.max("j")).first()
@@ -30,7 +30,7 @@ def read_tsv_matrix(spark: SparkSession, path: str, replicate: int = 1, keep: in
 
 def read_gene_text(spark: SparkSession, path: str) -> tuple[CellArray, CellArray]:
     """(training, test) arrays from lines of a name and numbers; a blank line stands between them."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("at", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "text"))
     lines = written(lines.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))), "genes")
     cut = lines.filter("text = ''").agg(F.min("at")).first()[0]
     out = []
