@@ -78,6 +78,24 @@ def text_map(docs: DataFrame, keep: dict[str, str], text: str, out: str, setup,
     return source.mapInArrow(run, schema)
 
 
+def map_slices(df: DataFrame, fn, schema: str, rows: int = 500) -> DataFrame:
+    """``fn(iterator of small pandas frames) -> iterator of pandas frames``. Batches stay in Arrow but for the slice at hand, which keeps workers small whatever the texts."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        import pyarrow as pa
+
+        slices = (b.slice(at, rows).to_pandas() for b in batches for at in range(0, b.num_rows, rows))
+        for out in fn(slices):
+            if len(out):
+                yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 def rewrite_texts(docs: DataFrame, text: str, setup, rows: int = 500) -> DataFrame:
     """``docs`` with texts replaced or rows dropped, all columns as they are otherwise. ``setup()`` returns ``fn(texts) -> (kept flags or None, new texts or None)``."""
     k = docs.columns.index(text)

@@ -5,11 +5,13 @@
    some task's documents after all others, by how often they do. Any order is
    right as long as all documents share it; this one keeps common passages out
    of the prefixes.
-3. A document's first |x| - ceil(t|x|) + 1 shingles in that order are its
-   prefix. Two sets that link share a prefix shingle and have like sizes.
-4. Pairs to be counted: every member of a bucket against its smallest
-   document, then, once those links are joined into components, every pair of
-   a bucket that still lies in two components. No link between components is
+3. A document's first |x| - ceil(t|x|) + l(x) shingles in that order are its
+   prefix. Two sets that link have like sizes and share at least the smaller l
+   of their prefix shingles: of the set whose prefix ends first, ceil(t|x|) -
+   l(x) shingles lie beyond, and the overlap is at least ceil(t max(|x|, |y|)).
+4. Pairs to be counted: members of a bucket against its smallest document,
+   then, once those links are joined into components, every pair in two
+   components that shares l prefix shingles. No link between components is
    lost, and a group of n near copies costs about n pairs.
 5. The order is cut into fragments. Each fragment counts the overlap of its
    part of both sets for each pair; the counts are summed per pair.
@@ -26,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import connected_components, materialize
+from .common import connected_components, map_slices, materialize
 
-#: Fragments of the global order, pairs and shingles that one counting task holds, and ids that are broadcast.
-FRAGMENTS, TASK_PAIRS, TASK_SHINGLES, BROADCAST_ROWS = 8, 400_000, 4_000_000, 1_000_000
+#: Fragments of the global order, pairs that one counting task holds, about, and ids that are broadcast.
+FRAGMENTS, TASK_PAIRS, BROADCAST_ROWS = 8, 20_000, 1_000_000
+#: Bits of a prefix shingle by which those of one document only are told; more than one document may share them, which costs time only.
+SHARED_BITS, SHARED_ROWS = 40, 4_000_000
 #: Shingles that come last in the order: at most so many, of at least so many documents that a task has seen at once.
-HOT_SHINGLES, HOT_DOCS, WINDOW_SHINGLES = 500_000, 24, 4_000_000
+HOT_SHINGLES, HOT_DOCS, WINDOW_SHINGLES = 500_000, 6, 1_500_000
 #: Bytes of text that are hashed at a time.
 CHUNK_BYTES = 1 << 20
 
@@ -109,13 +113,17 @@ def _digest(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-def _slices(b: pd.DataFrame, rows: int = 2000):
-    for at in range(0, len(b), rows):
-        yield b.iloc[at : at + rows]
+def least_shared(n: int) -> int:
+    """Prefix shingles that a document must share: 7 in 100 of its set."""
+    return max(1, n * 7 // 100)
+
+
+def _least_shared(n):
+    return F.greatest(F.lit(1), F.floor(n * 7 / 100))
 
 
 def prefix_length(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
+    return n - -(-percent * n // 100) + least_shared(n)
 
 
 def _describe(docs: DataFrame, k: int) -> DataFrame:
@@ -132,22 +140,21 @@ def _describe(docs: DataFrame, k: int) -> DataFrame:
             hot = times >= 2
             return pd.DataFrame({"d": pd.array([None] * int(hot.sum()), "Int64"), "n": 0, "digest": None, "token": every[edge[:-1]][hot].view(np.int64), "times": times[hot]})
 
-        for b in batches:
-            for part in _slices(b):
-                sets = shingle([t or "" for t in part["t"]])
-                marks = [_digest(s) for s in sets]
-                yield pd.DataFrame({"d": part["d"].astype("Int64").to_numpy(), "n": [len(s) for s in sets], "digest": marks, "token": pd.array([None] * len(sets), "Int64"), "times": 0})
-                for s, m in zip(sets, marks):
-                    if m not in seen:  # copies of one text say nothing about passages
-                        seen.add(m)
-                        held.append(s)
-                        size += len(s)
-                if size > WINDOW_SHINGLES:
-                    yield repeated()
-                    held, size, seen = [], 0, set()
+        for part in batches:
+            sets = shingle([t or "" for t in part["t"]])
+            marks = [_digest(s) for s in sets]
+            yield pd.DataFrame({"d": part["d"].astype("Int64"), "n": [len(s) for s in sets], "digest": marks, "token": pd.array([None] * len(sets), "Int64"), "times": 0})
+            for s, m in zip(sets, marks):
+                if m not in seen:  # copies of one text say nothing about passages
+                    seen.add(m)
+                    held.append(s)
+                    size += len(s)
+            if size > WINDOW_SHINGLES:
+                yield repeated()
+                held, size, seen = [], 0, set()
         yield repeated()
 
-    return docs.mapInPandas(run, "d long, n int, digest binary, token long, times long")
+    return map_slices(docs, run, "d long, n int, digest binary, token long, times long")
 
 
 def _standing(docs: DataFrame, reps: DataFrame, bound: int) -> DataFrame:
@@ -165,29 +172,30 @@ def links(docs: DataFrame, reps: DataFrame, hot: np.ndarray, hot_times: np.ndarr
     def prefixes(batches):
         shingle = Shingler(k)
         tokens, times = hot_b.value
-        for b in batches:
-            for part in _slices(b):
-                out = []
-                for d, mark, s in zip(part["d"], part["digest"], shingle([t or "" for t in part["t"]])):
-                    if _digest(s) != mark:
-                        continue
-                    p = prefix_length(len(s), percent)
-                    if len(tokens):
-                        at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                        is_hot = tokens[at] == s
-                        cool = s[~is_hot][:p]
-                        if len(cool) < p:
-                            warm, t = s[is_hot], times[at[is_hot]]
-                            cool = np.concatenate([cool, warm[np.lexsort((warm, t))][: p - len(cool)]])
-                    else:
-                        cool = s[:p]
-                    out.append((d, len(s), cool.view(np.int64)))
-                yield pd.DataFrame(out, columns=["d", "n", "tokens"])
-
-    pre = materialize(_standing(docs, reps, bound).mapInPandas(prefixes, "d long, n int, tokens array<long>").dropDuplicates(["d"]), "jaccard-prefixes")
-    shared = materialize(pre.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("token"), "jaccard-shared")
-    few = shared.limit(bound + 1).count() <= bound
-    post = pre.select("d", "n", F.explode("tokens").alias("token")).join(F.broadcast(shared) if few else shared, "token", "left_semi")
+        for part in batches:
+            out = []
+            for d, mark, s in zip(part["d"], part["digest"], shingle([t or "" for t in part["t"]])):
+                if _digest(s) != mark:
+                    continue
+                p = prefix_length(len(s), percent)
+                if len(tokens):
+                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+                    is_hot = tokens[at] == s
+                    cool = s[~is_hot][:p]
+                    if len(cool) < p:
+                        warm, t = s[is_hot], times[at[is_hot]]
+                        cool = np.concatenate([cool, warm[np.lexsort((warm, t))][: p - len(cool)]])
+                else:
+                    cool = s[:p]
+                out.append((d, len(s), cool.view(np.int64)))
+            yield pd.DataFrame(out, columns=["d", "n", "tokens"])
+
+    pre = materialize(map_slices(_standing(docs, reps, bound), prefixes, "d long, n int, tokens array<long>"), "jaccard-prefixes")
+    part = lambda t: F.shiftrightunsigned(t, 64 - SHARED_BITS)
+    shared = pre.select(F.explode("tokens").alias("token")).groupBy(part("token").alias("part")).agg(F.count(F.lit(1)).alias("df")).filter("df > 1").select("part")
+    shared = materialize(shared, "jaccard-shared")
+    few = shared.limit(SHARED_ROWS + 1).count() <= SHARED_ROWS
+    post = pre.select("d", "n", F.explode("tokens").alias("token")).withColumn("part", part("token")).join(F.broadcast(shared) if few else shared, "part", "left_semi").select("d", "n", "token")
     near = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     by_size = Window.partitionBy("token").orderBy("n", "d")
     mate = F.coalesce(near(F.col("n"), F.lag("n").over(by_size)), F.lit(False)) | F.coalesce(near(F.col("n"), F.lead("n").over(by_size)), F.lit(False))
@@ -195,23 +203,122 @@ def links(docs: DataFrame, reps: DataFrame, hot: np.ndarray, hot_times: np.ndarr
     band = F.floor(F.log(F.col("n").cast("double")) / -math.log(percent / 100))
     hub = post.withColumn("band", band).groupBy("token", "band").agg(F.min(F.struct("d", "n")).alias("hub"))
     star = post.withColumn("band", band).join(hub, ["token", "band"]).filter((F.col("d") != F.col("hub.d")) & near(F.col("n"), F.col("hub.n")))
-    star = materialize(star.select(F.col("hub.d").alias("a"), F.col("d").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b")).distinct(), "jaccard-star")
-
-    # Sets of every document that may yet be counted, cut into fragments once.
-    docs_in = materialize(post.select("d", "n").distinct(), "jaccard-candidates")
-    pieces = materialize(_standing(docs, reps.join(docs_in.select("d"), "d", "left_semi"), bound).mapInPandas(_cutter(k), "d long, f int, seg binary"), "jaccard-fragments")
-    first = materialize(_count(pieces, docs_in, star, percent), "jaccard-links")
+    both = lambda a, b: F.least(_least_shared(F.col(a)), _least_shared(F.col(b)))
+    star = star.select(F.col("hub.d").alias("a"), F.col("d").alias("b"), F.col("hub.n").alias("n_a"), F.col("n").alias("n_b")).groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("m"))
+    # A document isn't the smallest of every bucket that it shares, so half of what a link needs is enough here.
+    star = materialize(star.filter(F.col("m") * 2 >= both("n_a", "n_b")).drop("m"), "jaccard-star")
+    n_star = star.count()
+    packed = materialize(_packed(star, max(1, -(-n_star // TASK_PAIRS))), "jaccard-pairs")
+    first = materialize(_count(docs, reps, packed, k, percent, bound), "jaccard-links")
 
     comp = connected_components(first.select("a", "b"), "jaccard-first")
     marked = post.join(comp.withColumnRenamed("node", "d"), "d", "left").withColumn("c", F.coalesce("component", "d")).drop("component")
     split = marked.groupBy("token").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1").select("token")
     open_ = materialize(marked.join(split, "token", "left_semi"), "jaccard-open")
-    left, right = (open_.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("d", "n", "c")]) for s in "ab")
-    rest = left.join(right, (left["token"] == right["token"]) & (F.col("d_a") < F.col("d_b")) & (F.col("c_a") != F.col("c_b")) & near(F.col("n_a"), F.col("n_b")))
-    rest = rest.select(F.col("d_a").alias("a"), F.col("d_b").alias("b"), "n_a", "n_b").distinct()
-    told = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = materialize(rest.join(told, ["a", "b"], "left_anti"), "jaccard-rest")
-    return first.union(_count(pieces, docs_in, rest, percent))
+    tasks = max(16, -(-open_.count() // 100_000))
+    listed = map_slices(open_.select("token", "d", "n", "c").repartition("token").sortWithinPartitions("token", "n", "d"), _across(percent, tasks), "h int, pairs binary", rows=50_000)
+    rest = materialize(listed.groupBy("h").applyInPandas(_enough, "h int, pairs binary"), "jaccard-rest")
+    return first.union(_count(docs, reps, rest, k, percent, bound))
+
+
+#: A pair, as tasks pass it on.
+PAIR = np.dtype([("a", "<i8"), ("b", "<i8"), ("n_a", "<i4"), ("n_b", "<i4"), ("m", "<i4")])
+
+
+def _task_of(a: np.ndarray, b: np.ndarray, tasks: int) -> np.ndarray:
+    """A pair's task: by its first document, in 64 parts, so that one with very many partners is spread."""
+    return (_mix(a.astype(np.uint64) * np.uint64(64) + b.astype(np.uint64) % np.uint64(64)) % np.uint64(tasks)).astype(np.int32)
+
+
+def _summed(p: np.ndarray) -> np.ndarray:
+    """Equal pairs as one, m added up."""
+    if not len(p):
+        return p
+    p = p[np.lexsort((p["b"], p["a"]))]
+    first = np.flatnonzero(np.concatenate([[True], (p["a"][1:] != p["a"][:-1]) | (p["b"][1:] != p["b"][:-1])]))
+    out = p[first]
+    out["m"] = np.add.reduceat(p["m"], first)
+    return out
+
+
+def _across(percent: int, tasks: int):
+    """Pairs of like size within a token's documents that lie in two components; the input is sorted by token, size, document."""
+
+    def run(slices):
+        held, count = [], 0
+
+        def flush():
+            p = _summed(np.concatenate(held))
+            h = _task_of(p["a"], p["b"], tasks)
+            order = np.argsort(h, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1], [True]]))
+            return pd.DataFrame([(int(h[order[i]]), p[order[i:j]].tobytes()) for i, j in zip(edge[:-1], edge[1:])], columns=["h", "pairs"])
+
+        def pairs(g: pd.DataFrame):
+            t, d, n, c = (g[x].to_numpy() for x in ("token", "d", "n", "c"))
+            i, step = np.arange(len(t)), 1
+            while True:
+                i = i[i + step < len(t)]
+                j = i + step
+                near = (t[i] == t[j]) & (n[i].astype(np.int64) * 100 >= n[j].astype(np.int64) * percent)
+                i, j = i[near], j[near]
+                if not len(i):
+                    return
+                x, y = i[c[i] != c[j]], j[c[i] != c[j]]
+                turn = d[x] > d[y]
+                x, y = np.where(turn, y, x), np.where(turn, x, y)
+                out = np.empty(len(x), PAIR)
+                out["a"], out["b"], out["n_a"], out["n_b"], out["m"] = d[x], d[y], n[x], n[y], 1
+                yield out[out["a"] != out["b"]]
+                step += 1
+
+        def parts():
+            last = None
+            for g in slices:
+                g = g if last is None else pd.concat([last, g], ignore_index=True)
+                t = g["token"].to_numpy()
+                cut = len(t) - int((t[::-1] != t[-1]).argmax() if (t != t[-1]).any() else len(t))
+                last = g.iloc[cut:]
+                if cut:
+                    yield g.iloc[:cut]
+            if last is not None:
+                yield last
+
+        for g in parts():
+            for p in pairs(g):
+                if len(p):
+                    held.append(p)
+                    count += len(p)
+                if count > 1_000_000:
+                    yield flush()
+                    held, count = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _enough(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of a task that share enough prefix shingles."""
+    p = _summed(np.concatenate([np.frombuffer(x, PAIR) for x in g["pairs"]]))
+    least = np.maximum(1, np.minimum(p["n_a"], p["n_b"]).astype(np.int64) * 7 // 100)
+    p = p[p["m"] >= least]
+    rows = np.stack([p[c].astype(np.int64) for c in ("a", "b", "n_a", "n_b")]) if len(p) else np.empty((4, 0), np.int64)
+    return pd.DataFrame({"h": [key[0]], "pairs": [rows.tobytes()]})
+
+
+def _packed(pairs: DataFrame, tasks: int) -> DataFrame:
+    """(h, pairs): the rows a, b, n_a, n_b of a task's pairs, sorted by a and b."""
+
+    def mark(slices):
+        for g in slices:
+            yield g.assign(h=_task_of(g["a"].to_numpy(np.int64), g["b"].to_numpy(np.int64), tasks))
+
+    def pack(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["a", "b"])
+        return pd.DataFrame({"h": [key[0]], "pairs": [g[["a", "b", "n_a", "n_b"]].to_numpy(np.int64).T.tobytes()]})
+
+    return map_slices(pairs, mark, "a long, b long, n_a int, n_b int, h int", rows=50_000).groupBy("h").applyInPandas(pack, "h int, pairs binary")
 
 
 def _cutter(k: int):
@@ -219,33 +326,27 @@ def _cutter(k: int):
         shingle = Shingler(k)
         step = (1 << 64) // FRAGMENTS
         edges = np.array([step * i for i in range(1, FRAGMENTS)], np.uint64)
-        for b in batches:
-            for part in _slices(b, 500):
-                out = []
-                for d, mark, s in zip(part["d"], part["digest"], shingle([t or "" for t in part["t"]])):
-                    if _digest(s) == mark:
-                        at = [0, *np.searchsorted(s, edges).tolist(), len(s)]
-                        out += [(d, f, s[at[f] : at[f + 1]].tobytes()) for f in range(FRAGMENTS) if at[f] < at[f + 1]]
-                yield pd.DataFrame(out, columns=["d", "f", "seg"])
+        for part in batches:
+            out = []
+            for d, mark, s in zip(part["d"], part["digest"], shingle([t or "" for t in part["t"]])):
+                if _digest(s) == mark:
+                    at = [0, *np.searchsorted(s, edges).tolist(), len(s)]
+                    out += [(d, f, s[at[f] : at[f + 1]].tobytes()) for f in range(FRAGMENTS) if at[f] < at[f + 1]]
+            yield pd.DataFrame(out, columns=["d", "f", "seg"])
 
     return cut
 
 
-def _count(pieces: DataFrame, sizes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, overlap, n_a, n_b) whose Jaccard similarity reaches ``percent``."""
-    n_pairs = pairs.count()
-    # A pair's task: by its first document, in 64 parts, so that a document with very many partners is spread.
-    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("d")).distinct(), "jaccard-asked")
-    load = sizes.join(asked, "d", "left_semi").agg(F.sum("n")).first()[0] or 0
-    tasks = max(1, -(-n_pairs // TASK_PAIRS), -(-load // (TASK_SHINGLES * FRAGMENTS)))
-    pairs = pairs.withColumn("h", F.pmod(F.xxhash64("a", F.col("b") % 64), F.lit(tasks)).cast("int"))
+def _count(docs: DataFrame, reps: DataFrame, packed: DataFrame, k: int, percent: int, bound: int) -> DataFrame:
+    """The pairs (a, b, overlap, n_a, n_b) whose Jaccard similarity reaches ``percent``; sets are made for the documents in them only."""
 
-    def pack(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["a", "b"])
-        return pd.DataFrame({"h": [key[0]], "pairs": [g[["a", "b", "n_a", "n_b"]].to_numpy(np.int64).T.tobytes()]})
+    def ends(slices):
+        for g in slices:
+            for h, p in zip(g["h"], g["pairs"]):
+                yield pd.DataFrame({"h": h, "d": np.unique(np.frombuffer(p, np.int64).reshape(4, -1)[:2])})
 
-    packed = materialize(pairs.groupBy("h").applyInPandas(pack, "h int, pairs binary"), "jaccard-pairs")
-    need = pairs.select("h", F.explode(F.array("a", "b")).alias("d")).distinct()
+    need = materialize(map_slices(packed, ends, "h int, d long"), "jaccard-asked")
+    pieces = map_slices(_standing(docs, reps.join(need.select("d").distinct(), "d", "left_semi"), bound), _cutter(k), "d long, f int, seg binary")
     small = need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     sent = pieces.join(F.broadcast(need) if small else need, "d")
 
