@@ -109,10 +109,11 @@ class Segmenter:
             return [(0, ())]
         best = self.forward(word)
         count = itertools.count()
-        heap = [(-best[-1], next(count), len(word), 0, None)]
+        # Of equal totals the one nearer to the start goes first: ties then cost a walk, not all their combinations.
+        heap = [(-best[-1], len(word), next(count), 0, None)]
         out = []
         while heap and len(out) < n:
-            _, _, at, done, path = heapq.heappop(heap)
+            _, at, _, done, path = heapq.heappop(heap)
             if at == 0:
                 ids = []
                 while path:
@@ -121,7 +122,7 @@ class Segmenter:
                 out.append((done, tuple(ids)))
                 continue
             for begin, ids, score in self.edges(word, at):
-                heapq.heappush(heap, (-(best[begin] + done + score), next(count), begin, done + score, (ids, path)))
+                heapq.heappush(heap, (-(best[begin] + done + score), begin, next(count), done + score, (ids, path)))
         return out
 
     # --- many words -------------------------------------------------------------
