@@ -303,7 +303,9 @@ def _enough(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
     p = _summed(np.concatenate([np.frombuffer(x, PAIR) for x in g["pairs"]]))
     least = np.maximum(1, np.minimum(p["n_a"], p["n_b"]).astype(np.int64) * 7 // 100)
     p = p[p["m"] >= least]
-    rows = np.stack([p[c].astype(np.int64) for c in ("a", "b", "n_a", "n_b")]) if len(p) else np.empty((4, 0), np.int64)
+    if not len(p):
+        return pd.DataFrame({"h": pd.Series([], dtype="int32"), "pairs": pd.Series([], dtype=object)})
+    rows = np.stack([p[c].astype(np.int64) for c in ("a", "b", "n_a", "n_b")])
     return pd.DataFrame({"h": [key[0]], "pairs": [rows.tobytes()]})
 
 
