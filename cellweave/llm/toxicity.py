@@ -35,7 +35,7 @@ def _sentences(text: str, known) -> tuple[np.ndarray, np.ndarray]:
     return ids[~end], np.unique(sent, return_inverse=True)[1] if len(sent) else sent
 
 
-def fit_noisy_or(texts: list[str], y: np.ndarray, weight: np.ndarray, steps: int = 120, rate: float = 0.15, l1: float = 2e-4, least: int = 5) -> dict:
+def fit_noisy_or(texts: list[str], y: np.ndarray, weight: np.ndarray, steps: int = 200, rate: float = 0.15, l1: float = 5e-5, least: int = 4) -> dict:
     """{"bias": b, "words": {word: weight}}; words of fewer than ``least`` documents are left out."""
     seen: dict[str, int] = {}
     for t in texts:
