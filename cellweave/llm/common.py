@@ -49,6 +49,27 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
+def release() -> None:
+    """Give memory that a finished task's texts took back to the system; workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):  # glibc
+        libc.malloc_trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand texts to Python a thousand rows at a time unless the session asks for other than Spark's default; both sides hold a batch or two for each core."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def text_map(docs: DataFrame, keep: dict[str, str], text: str, out: str, setup, rows: int = 500) -> DataFrame:
     """Columns ``keep`` (name: new name) as they are, and what a function makes of the texts.
 
@@ -59,6 +80,7 @@ def text_map(docs: DataFrame, keep: dict[str, str], text: str, out: str, setup,
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(docs.sparkSession)
     made = StructType.fromDDL(out)
     source = docs.select(*[F.col(c).alias(n) for c, n in keep.items()], F.col(text).alias("_text"))
     schema = StructType([f for f in source.schema.fields[:-1]] + made.fields)
@@ -74,6 +96,7 @@ def text_map(docs: DataFrame, keep: dict[str, str], text: str, out: str, setup,
                 b = whole.slice(at, rows)
                 columns = fn([t or "" for t in b.column(k).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*(b.column(i).cast(arrow.field(i).type) for i in range(k)), *(pa.array(c, arrow.field(k + i).type) for i, c in enumerate(columns))], schema=arrow)
+        release()
 
     return source.mapInArrow(run, schema)
 
@@ -83,6 +106,7 @@ def map_slices(df: DataFrame, fn, schema: str, rows: int = 500) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
+    small_batches(df.sparkSession)
     arrow = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
@@ -92,12 +116,14 @@ def map_slices(df: DataFrame, fn, schema: str, rows: int = 500) -> DataFrame:
         for out in fn(slices):
             if len(out):
                 yield pa.RecordBatch.from_pandas(out, schema=arrow, preserve_index=False)
+        release()
 
     return df.mapInArrow(run, schema)
 
 
 def rewrite_texts(docs: DataFrame, text: str, setup, rows: int = 500) -> DataFrame:
     """``docs`` with texts replaced or rows dropped, all columns as they are otherwise. ``setup()`` returns ``fn(texts) -> (kept flags or None, new texts or None)``."""
+    small_batches(docs.sparkSession)
     k = docs.columns.index(text)
 
     def run(batches):
@@ -111,6 +137,7 @@ def rewrite_texts(docs: DataFrame, text: str, setup, rows: int = 500) -> DataFra
                 if texts is not None:
                     b = b.set_column(k, b.schema.field(k), pa.array(texts, b.schema.field(k).type))
                 yield b if flags is None else b.filter(pa.array(flags, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
