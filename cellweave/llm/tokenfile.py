@@ -23,12 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import fresh_path, map_slices, materialize
 
 MAGIC = b"CWTOKENS1\n"
 #: Ids of a block, blocks coded in lockstep, and characters of text that go to one file, about.
-BLOCK_IDS, LANES, FILE_CHARS = 4096, 2048, 24_000_000
-_H1, _H2 = 10, 12
+BLOCK_IDS, LANES, FILE_CHARS = 2048, 2048, 10_000_000
+_H1, _H2 = 10, 11
 #: Bits of a mixing probability, of a file frequency, and of the coder's state.
 _MIX, _FREQ, _STATE = 12, 18, 48
 _ONE, _MASK, _LEAST = 1 << _MIX, np.int64((1 << _STATE) - 1), 1 << (_STATE - 16)
@@ -181,14 +181,14 @@ def decode_blocks(streams: list[bytes], n: np.ndarray, freq: np.ndarray) -> np.n
 def pack_file(doc_ids: list, docs: list[np.ndarray]) -> bytes:
     """The bytes of a file that holds these documents in this order; ids below 65536."""
     sizes = np.array([len(x) for x in docs], "<u4")
-    flat = np.concatenate([np.empty(0, np.uint16), *docs]).astype(np.int64)
+    flat = np.concatenate([np.empty(0, np.uint16), *docs])
     count = np.bincount(flat, minlength=1)
     freq = frequencies(count)
     n_blocks = -(-len(flat) // BLOCK_IDS)
     n = np.full(n_blocks, BLOCK_IDS)
     if n_blocks:
         n[-1] = len(flat) - BLOCK_IDS * (n_blocks - 1)
-    grid = np.zeros(n_blocks * BLOCK_IDS, np.int64)
+    grid = np.zeros(n_blocks * BLOCK_IDS, np.uint16)
     grid[: len(flat)] = flat
     grid = grid.reshape(n_blocks, BLOCK_IDS)
     streams: list[bytes] = []
@@ -235,8 +235,8 @@ def unpack_file(data: bytes) -> tuple[list, list[np.ndarray]]:
 #: Texts of these characters only are cut into the tokenizer's own pre-tokens here, each of which is encoded once; others go to it whole.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u0148\u014a-\u017e]*")
 PRE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\u017f]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\u017f]+")
-#: Entries that a worker keeps: of pieces between white space, and of pre-tokens.
-CACHE = 500_000
+#: Entries that a worker keeps: of pieces between white space, and of pre-tokens. When one is full, what the texts at hand use stays.
+CACHE = 400_000
 
 
 class Encoder:
@@ -264,8 +264,7 @@ class Encoder:
         cut = [PRE.findall(p.lower()) for p in pieces]
         new = list({w for c in cut for w in c if w not in self.cache})
         if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list({w for c in cut for w in c})
+            self.cache = {w: self.cache[w] for c in cut for w in c if w in self.cache}
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
             for w, e in zip(part, self.words.encode_batch_fast(part, add_special_tokens=False)):
@@ -281,8 +280,7 @@ class Encoder:
         every = set().union(*filter(None, cut))
         new = every.difference(self.pieces)
         if len(self.pieces) + len(new) > CACHE:
-            self.pieces.clear()
-            new = every
+            self.pieces = {w: self.pieces[w] for w in every.difference(new)}
         self._learn(list(new))
         get, end = self.pieces.__getitem__, struct.pack("<H", last)
         out = []
@@ -331,16 +329,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, last: int =
                 held[tokenizer_path] = Encoder(f.name)
         enc = held[tokenizer_path]
         for b in batches:
-            d = b["d"]
-            file = np.where(d.isna(), 0, np.searchsorted(cuts, d.fillna(0).astype(np.int64), side="left")).astype(np.int32)
-            ids: list[bytes] = []
-            for at in range(0, len(b), 500):
-                ids += enc([t or "" for t in b["t"].iloc[at : at + 500]], last)
-            yield pd.DataFrame({"file": file, "d": d.astype("Int64"), "ids": ids})
+            file = np.where(b["d"].isna(), 0, np.searchsorted(cuts, b["c"].fillna(0).astype(np.int64), side="left")).astype(np.int32)
+            yield pd.DataFrame({"file": file, "d": b["d"], "ids": enc([t or "" for t in b["t"]], last)})
 
     def pack(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["d", "ids"], na_position="first")
-        names = [None if pd.isna(x) else int(x) for x in g["d"]]
+        names = [None if x is None else int(x) for x in g["d"]]
+        order = sorted(range(len(g)), key=lambda k: (names[k] is not None, names[k] or 0, g["ids"].iloc[k]))
+        g, names = g.iloc[order], [names[k] for k in order]
         data = pack_file(names, [np.frombuffer(x, "<u2") for x in g["ids"]])
         fs, top = _storage(folder)
         fs.create_dir(top, recursive=True)
@@ -349,7 +344,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, last: int =
             f.write(data)
         return pd.DataFrame({"file": [key[0]], "path": [path], "n_ids": [sum(map(len, g["ids"])) // 2]})
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).mapInPandas(encode, "file int, d long, ids binary")
+    # Ids travel as text, so that nulls among them don't turn the others into floats.
+    narrow = docs.select(F.col(doc_id).cast("string").alias("d"), F.coalesce(F.col(doc_id).cast("long"), F.lit(0)).alias("c"), F.col(text).alias("t"))
+    rows = map_slices(narrow, encode, "file int, d string, ids binary")
     made = materialize(rows.groupBy("file").applyInPandas(pack, "file int, path string, n_ids long"), "token-manifest")
     # A row for each file, of some million ids: the running sum is the driver's.
     listed = made.orderBy("file").toPandas()
