@@ -247,14 +247,15 @@ class Encoder:
     pre-tokens, and only new ones of those reach the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, text: str):
+        """``text``: what a tokenizer file holds."""
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words = Tokenizer.from_file(path)  # for pre-tokens, which are folded and cut already
+        self.tokenizer = Tokenizer.from_str(text)
+        self.words = Tokenizer.from_str(text)  # for pre-tokens, which are folded and cut already
         self.words.normalizer = None
         self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pieces: dict[str, bytes] = {}
@@ -318,15 +319,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, last: int =
 
     def encode(batches):
         import sys
-        import tempfile
 
         # A worker serves many tasks; the encoder, with its cache, stays with it.
         held = sys.modules.setdefault("_cellweave_encoders", type(sys)("_cellweave_encoders")).__dict__
         if tokenizer_path not in held:
-            with tempfile.NamedTemporaryFile(suffix=".json") as f:
-                f.write(zlib.decompress(model.value))
-                f.flush()
-                held[tokenizer_path] = Encoder(f.name)
+            held[tokenizer_path] = Encoder(zlib.decompress(model.value).decode())
         enc = held[tokenizer_path]
         for b in batches:
             file = np.where(b["d"].isna(), 0, np.searchsorted(cuts, b["c"].fillna(0).astype(np.int64), side="left")).astype(np.int32)
