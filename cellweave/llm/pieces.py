@@ -30,7 +30,7 @@ from .common import text_map
 SPACE = "▁"
 WORD = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
 #: Words that a worker keeps; words longer than this are solved one by one.
-CACHE, LONG = 120_000, 48
+CACHE, LONG = 300_000, 48
 _P = np.uint64(0x9E3779B97F4A7C15)
 NONE = -(1 << 60)
 
