@@ -1,12 +1,13 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
-N-grams are of four characters over 32 classes (letters by base letter, white
-space, digits, punctuation, other letters, other symbols), so a language's
-table has 32**4 entries whatever the corpus. Tasks count their trusted texts
-into such tables and emit the counts by shard of the leading character; shards
-are summed, joined to tables, and a text's perplexity is read off by address.
-Documents are kept up to a quantile of the trusted perplexities of their
-language.
+N-grams are pairs of whole words, counted over all trusted texts of a language
+and hash-sharded by Spark, so the model grows with the corpus and is nowhere
+held whole: entries become additive scores (see ``train``), and documents'
+words and word pairs are joined to them. Thresholds are a quantile of the
+trusted perplexities of a language, each by a model without the text's fold,
+since a text's own counts would make it look better than any other text.
+
+The small character model (``_codes``, ``kneser_ney``) isn't part of the query.
 """
 
 from __future__ import annotations
@@ -14,17 +15,17 @@ from __future__ import annotations
 import unicodedata
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, semi_join
+from .common import BROADCAST_ROWS, materialize
 
 N, CLASSES = 4, 32
-#: Languages with a table of their own, those with the most trusted texts; a table of all of them serves the rest.
-LANGUAGES = 64
-CHUNK_CHARS = 1 << 20
-POOLED = "*"
+#: A run of letters, marks and digits; one character of a script without spaces; one other symbol.
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+WORD = rf"[{_ALONE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_ALONE}]]+|[^\s\p{{Z}}]"
+#: Parts of the trusted texts that are left out in turn.
+FOLDS = 4
 
 
 def class_table() -> np.ndarray:
@@ -63,17 +64,6 @@ def _codes(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return code[keep], n
 
 
-def _chunks(texts: list[str]):
-    at, held = 0, 0
-    for k, t in enumerate(texts):
-        held += len(t)
-        if held >= CHUNK_CHARS:
-            yield at, k + 1
-            at, held = k + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def kneser_ney(counts: np.ndarray) -> np.ndarray:
     """Natural log probabilities, shape (32,)*4, of interpolated modified Kneser-Ney over n-gram counts of that shape."""
     orders = [counts.astype(np.float64)]
@@ -92,79 +82,82 @@ def kneser_ney(counts: np.ndarray) -> np.ndarray:
     return np.log(p)
 
 
-def train(trusted: DataFrame, lang: str = "lang", text: str = "text") -> dict[str, np.ndarray]:
-    """A table of log probabilities for each of the most frequent languages, and one of all, by address."""
-    table = class_table()
-    size = CLASSES**N
-
-    def count(batches):
-        held: dict[str, np.ndarray] = {}
-
-        def emit():
-            rows = []
-            for name, c in held.items():
-                for shard in range(CLASSES):
-                    part = c[shard * (size // CLASSES) : (shard + 1) * (size // CLASSES)]
-                    at = np.flatnonzero(part)
-                    if len(at):
-                        rows.append((name, shard, at.astype("<i4").tobytes(), part[at].tobytes()))
-            held.clear()
-            return pd.DataFrame(rows, columns=["lang", "shard", "at", "n"])
-
-        for b in batches:
-            names = b["lang"].fillna(POOLED).to_numpy()
-            for name in dict.fromkeys(names):
-                texts = [t for t in b["t"][names == name] if t]
-                for i, j in _chunks(texts):
-                    code, _ = _codes(texts[i:j], table)
-                    held.setdefault(name, np.zeros(size, np.int64))[:] += np.bincount(code, minlength=size)
-            if len(held) > 16:
-                yield emit()
-        yield emit()
-
-    def add(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        c = np.zeros(size // CLASSES, np.int64)
-        for at, n in zip(g["at"], g["n"]):
-            c[np.frombuffer(at, "<i4")] += np.frombuffer(n, np.int64)
-        at = np.flatnonzero(c)
-        return pd.DataFrame({"lang": [key[0]], "shard": [key[1]], "at": [at.astype("<i4").tobytes()], "n": [c[at].tobytes()], "total": [int(c.sum())]})
-
-    rows = trusted.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("t")).mapInPandas(count, "lang string, shard int, at binary, n binary")
-    shards = materialize(rows.groupBy("lang", "shard").applyInPandas(add, "lang string, shard int, at binary, n binary, total long"), "quality-shards")
-    whole = shards.groupBy("shard").applyInPandas(lambda key, g: add((POOLED, key[0]), g), "lang string, shard int, at binary, n binary, total long")
-    top = [r["lang"] for r in shards.filter(F.col("lang") != POOLED).groupBy("lang").agg(F.sum("total").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    counts = {name: np.zeros(size, np.int64) for name in (*top, POOLED)}
-    for r in [*shards.filter(F.col("lang").isin(top)).collect(), *whole.collect()]:
-        counts[r["lang"]][r["shard"] * (size // CLASSES) + np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["n"], np.int64)
-    return {name: kneser_ney(c.reshape((CLASSES,) * N)).astype(np.float32).ravel() for name, c in counts.items()}
-
-
-def perplexity(docs: DataFrame, model: dict[str, np.ndarray], doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
-    """Row by row (doc_id, lang, perplexity); null for a null or empty text."""
-    table = class_table()
-    tables = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        import pyarrow as pa
-
-        held = tables.value
-        for whole in batches:
-            b = whole.select([1, 2]).to_pandas()
-            names = b["lang"].to_numpy()
-            out = np.full(len(b), np.nan)
-            for name in dict.fromkeys(names):
-                rows = np.flatnonzero((names == name) if isinstance(name, str) else pd.isna(names))
-                texts = [b["t"].iloc[r] or "" for r in rows]
-                lp = held.get(name, held[POOLED])
-                for i, j in _chunks(texts):
-                    code, n = _codes(texts[i:j], table)
-                    total = np.concatenate([[0], np.cumsum(lp[code], dtype=np.float64)])
-                    ends = np.cumsum(n)
-                    out[rows[i:j]] = np.exp(-(total[ends] - total[ends - n]) / np.where(n > 0, n, np.nan))
-            yield pa.RecordBatch.from_arrays([whole.column(0), whole.column(1), pa.array(out, mask=np.isnan(out))], names=[doc_id, "lang", "perplexity"])
-
-    kind = dict(docs.dtypes)[doc_id]
-    return docs.select(F.col(doc_id).alias("d"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("t")).mapInArrow(run, f"{doc_id} {kind}, lang string, perplexity double")
+def discounts(n: list[Column]) -> list[Column]:
+    """The three discounts of modified Kneser-Ney from the numbers of entries that were counted once, twice, three and four times."""
+    y = F.coalesce(F.try_divide(n[0], n[0] + 2 * n[1]), F.lit(0.0))
+    return [F.when(n[r - 1] > 0, F.least(F.greatest(r - (r + 1) * y * n[r] / n[r - 1], F.lit(0.05)), F.lit(float(r)))).otherwise(0.5 * r) for r in (1, 2, 3)]
+
+
+def _times(c: Column, r: int) -> Column:
+    return F.sum((c == r).cast("long"))
+
+
+def _cut(c: Column, d: list[Column]) -> Column:
+    return F.when(c >= 3, d[2]).when(c == 2, d[1]).when(c == 1, d[0]).otherwise(0.0)
+
+
+def word_keys(name: Column, text: Column) -> Column:
+    """Hashes of a language's words, of a text start before them (the word "") and a text end after them (two spaces)."""
+    words = F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.array(F.lit("  ")))
+    return F.transform(words, lambda w: F.xxhash64(name.isNull(), name, w))
+
+
+def train(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Score table (key, v0, ...) and languages (name, unk0, ...) of trusted (name, fold, text).
+
+    ``v0`` comes from all texts, ``vk`` from those outside fold k. A text's log
+    probability is the sum of ``v`` over its words and word pairs that the
+    table holds, and ``unk`` for each word and the text end. With interpolation,
+    p(b | a) = bow(a) p(b) (1 + (c(ab) - D) / (g(a) p(b))), where g(a) is the
+    count mass that discounts take from a: a word's entry is log p + log bow -
+    unk, a pair's entry the logarithm of the last factor, 0 if it was not seen.
+    """
+    ks = range(FOLDS + 1)
+    keys = trusted.select("name", "fold", word_keys(F.col("name"), F.col("text")).alias("w"))
+    each = keys.select("name", "fold", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i")).select("name", "fold", F.get("w", F.col("i") - 1).alias("a"), F.get("w", "i").alias("b"))
+    n = [F.count(F.lit(1)).alias("c0"), *(F.sum((F.col("fold") != k).cast("long")).alias(f"c{k}") for k in ks[1:])]
+    pairs = materialize(each.groupBy("name", "a", "b").agg(*n), "quality-pairs")
+    same = lambda x: x.withColumnRenamed("name", "of")
+
+    counted = pairs.groupBy("name").agg(*(_times(F.col(f"c{k}"), r).alias(f"n{k}_{r}") for k in ks for r in (1, 2, 3, 4)))
+    cut = counted.select("name", *(d.alias(f"d{k}_{r}") for k in ks for r, d in enumerate(discounts([F.col(f"n{k}_{r}") for r in (1, 2, 3, 4)]), 1)))
+    # In how many contexts a word stands, and how many contexts there are.
+    after = pairs.groupBy("name", "b").agg(*(F.sum((F.col(f"c{k}") > 0).cast("long")).alias(f"c{k}") for k in ks))
+    low = after.groupBy("name").agg(*(_times(F.col(f"c{k}"), r).alias(f"n{k}_{r}") for k in ks for r in (1, 2, 3, 4)), *(F.sum(f"c{k}").alias(f"t{k}") for k in ks), *(F.sum((F.col(f"c{k}") > 0).cast("long")).alias(f"s{k}") for k in ks))
+    d = {k: discounts([F.col(f"n{k}_{r}") for r in (1, 2, 3, 4)]) for k in ks}
+    many = lambda k: F.col(f"s{k}") - F.col(f"n{k}_1") - F.col(f"n{k}_2")
+    rest = lambda k: F.coalesce(F.try_divide(d[k][0] * F.col(f"n{k}_1") + d[k][1] * F.col(f"n{k}_2") + d[k][2] * many(k), F.col(f"t{k}")), F.lit(1.0)) / (F.col(f"s{k}") + 1)
+    low = low.select("name", *(f"t{k}" for k in ks), *(x.alias(f"d{k}_{r}") for k in ks for r, x in enumerate(d[k], 1)), *(rest(k).alias(f"u{k}") for k in ks))
+    languages = materialize(low.join(cut.select("name", *(F.col(f"d{k}_{r}").alias(f"e{k}_{r}") for k in ks for r in (1, 2, 3))).transform(same), F.col("name").eqNullSafe(F.col("of"))).drop("of"), "quality-languages")
+
+    told = same(languages)
+    few = lambda x: F.broadcast(x) if languages.limit(100_001).count() <= 100_000 else x
+    dk = {(c, k): [F.col(f"{c}{k}_{r}") for r in (1, 2, 3)] for c in "de" for k in ks}
+    p = lambda k: F.coalesce(F.try_divide(F.col(f"c{k}") - _cut(F.col(f"c{k}"), dk["d", k]), F.col(f"t{k}")), F.lit(0.0)) + F.col(f"u{k}")
+    ends = after.join(few(told), F.col("name").eqNullSafe(F.col("of"))).select("b", *(p(k).alias(f"p{k}") for k in ks), *(f"u{k}" for k in ks))
+    ends = materialize(ends, "quality-ends")
+    starts = pairs.join(few(told), F.col("name").eqNullSafe(F.col("of"))).groupBy("a").agg(*(F.sum(_cut(F.col(f"c{k}"), dk["e", k])).alias(f"g{k}") for k in ks), *(F.sum(f"c{k}").alias(f"m{k}") for k in ks))
+    starts = materialize(starts, "quality-starts")
+    bow = lambda k: F.when(F.col(f"m{k}") > 0, F.log(F.col(f"g{k}") / F.col(f"m{k}"))).otherwise(0.0)
+    words = ends.join(starts, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("key"), *((F.coalesce(F.log(F.col(f"p{k}") / F.col(f"u{k}")), F.lit(0.0)) + bow(k)).cast("float").alias(f"v{k}") for k in ks))
+    both = pairs.join(starts, "a").join(ends, "b").join(few(told.select("of", *(f"e{k}_{r}" for k in ks for r in (1, 2, 3)))), F.col("name").eqNullSafe(F.col("of")))
+    lift = lambda k: F.when(F.col(f"c{k}") > 0, F.log1p((F.col(f"c{k}") - _cut(F.col(f"c{k}"), dk["e", k])) / (F.col(f"g{k}") * F.col(f"p{k}")))).otherwise(0.0)
+    table = words.union(both.select(F.xxhash64("a", "b").alias("key"), *(lift(k).cast("float").alias(f"v{k}") for k in ks)))
+    return table, languages.select("name", *(F.log(f"u{k}").alias(f"unk{k}") for k in ks))
+
+
+def perplexity(rows: DataFrame, table: DataFrame, languages: DataFrame) -> DataFrame:
+    """(row, perplexity) of rows (row, name, fold, text) without empty texts: their words and word pairs joined to the score table."""
+    keys = rows.select("row", "name", "fold", word_keys(F.col("name"), F.col("text")).alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i)))
+    each = keys.select("row", "fold", F.explode(F.concat("w", pairs)).alias("key"))
+    pick = lambda c: F.element_at(F.array(*(F.col(f"{c}{k}") for k in range(FOLDS + 1))), F.col("fold") + 1).cast("double")
+    found = each.join(table, "key").groupBy("row").agg(F.sum(pick("v")).alias("v"))
+    # The text end counts as a word.
+    size = keys.select("row", "name", "fold", (F.size("w") - 1).alias("n"))
+    few = F.broadcast(languages) if languages.limit(100_001).count() <= 100_000 else languages
+    size = size.join(few.withColumnRenamed("name", "of"), F.col("name").eqNullSafe(F.col("of")), "left").select("row", "n", F.coalesce(pick("unk"), F.lit(0.0)).alias("unk"))
+    return size.join(found, "row", "left").select("row", F.exp(-(F.coalesce("v", F.lit(0.0)) / F.col("n") + F.col("unk"))).alias("perplexity"))
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.98, doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
@@ -172,24 +165,36 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.98, do
 
     ``trusted_ids``: the doc_ids of trusted texts. A language's threshold is
     the ``quantile`` of its trusted perplexities; a language without trusted
-    texts, or a null one, takes that of all trusted texts. An empty or null
-    text has no perplexity and isn't kept. Rows that repeat a doc_id are
-    judged by their own texts; extra columns are ignored. With no trusted text
-    at all the model is uniform, thresholds are null and everything with a
-    text is kept.
+    texts, or a null one, is scored by the counts of all trusted texts and
+    takes the threshold of all. Trusted texts are scored by the counts
+    outside their fold (equal texts share one), others by all counts. An
+    empty or null text has no perplexity and isn't kept. Rows that repeat a
+    doc_id are judged by their own texts; extra columns are ignored. With no
+    trusted text at all thresholds are null and everything with a text is kept.
     """
-    ids = materialize(trusted_ids.select(F.col(doc_id)).filter(F.col(doc_id).isNotNull()).distinct(), "quality-trusted")
-    narrow = docs.select(doc_id, lang, text)
-    model = train(semi_join(narrow, ids, doc_id), lang, text)
-    scored = materialize(perplexity(docs, model, doc_id, lang, text), "quality-scores")
-    known = semi_join(scored, ids, doc_id).filter("perplexity is not null")
+    ids = materialize(trusted_ids.select(F.col(doc_id).alias("t")).filter(F.col("t").isNotNull()).distinct(), "quality-trusted")
+    ids = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
+    fold = F.when(F.col("t").isNotNull(), F.pmod(F.xxhash64("text"), F.lit(FOLDS)) + 1).otherwise(0).cast("int")
+    told = docs.select(F.col(doc_id).alias("d"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).join(ids, F.col("d") == F.col("t"), "left")
+    rows = materialize(told.select("d", "lang", "text", fold.alias("fold")).withColumn("row", F.monotonically_increasing_id()), "quality-rows")
+    full = rows.filter(F.length("text") > 0)
+    known = full.filter("fold > 0")
+    own = materialize(known.select(F.col("lang").alias("own")).filter("own is not null").distinct(), "quality-own")
+    own = F.broadcast(own) if own.limit(100_001).count() <= 100_000 else own
+    named = full.join(own, F.col("lang") == F.col("own"), "left").withColumnRenamed("own", "name")
+    learn = named.filter("fold > 0 and name is not null").select("name", "fold", "text")
+    if named.filter("name is null").limit(1).count():
+        learn = learn.union(known.select(F.lit(None).cast("string"), "fold", "text"))
+    scored = perplexity(named.select("row", "name", "fold", "text"), *train(learn))
+    scored = materialize(rows.select("row", "d", "lang", "fold").join(scored, "row", "left"), "quality-scores")
+    known = scored.filter("fold > 0 and perplexity is not null")
     cut = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"))
     every = known.agg(F.percentile_approx("perplexity", quantile, 10000)).first()[0]
     # A row for each language.
     few = cut.filter("lang is not null")
     threshold = F.coalesce("own", F.lit(every).cast("double"))
     out = scored.join(F.broadcast(few) if few.limit(100_001).count() <= 100_000 else few, "lang", "left")
-    return out.select(doc_id, "lang", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.col("perplexity").isNotNull()).alias("keep"))
+    return out.select(F.col("d").alias(doc_id), "lang", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.col("perplexity").isNotNull()).alias("keep"))
 
 
 def op8_quality(spark, sf_dir):

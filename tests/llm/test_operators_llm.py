@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -406,6 +406,64 @@ def test_quality_keeps_clean_text(spark):
     assert len(none) == len(rows) + len(ODD) and all(r.keep == (r.perplexity is not None) for r in none)
 
 
+def naive_pair_model(texts):
+    """Log probability of a text by modified Kneser-Ney over word pairs, and (sum of p(b | a) over words, text end and unknown)."""
+    pairs, after = Counter(), Counter()
+    for t in texts:
+        w = ["", *t.split(), "  "]
+        pairs.update(zip(w, w[1:]))
+    after.update(b for _, b in pairs)
+
+    def cuts(c):
+        k = [sum(x == r for x in c.values()) for r in (1, 2, 3, 4)]
+        y = k[0] / (k[0] + 2 * k[1]) if k[0] + k[1] else 0
+        d = [min(max(r - (r + 1) * y * k[r] / k[r - 1], 0.05), r) if k[r - 1] else 0.5 * r for r in (1, 2, 3)]
+        return lambda x: d[min(x, 3) - 1] if x else 0
+
+    cp, ca = cuts(pairs), cuts(after)
+    rest = sum(map(ca, after.values())) / len(pairs) / (len(after) + 1)
+    low = lambda b: (after[b] - ca(after[b])) / len(pairs) + rest
+
+    def p(b, a):
+        own = [n for (x, _), n in pairs.items() if x == a]
+        return low(b) if not own else (pairs[a, b] - cp(pairs[a, b]) + sum(map(cp, own)) * low(b)) / sum(own)
+
+    assert all(abs(sum(p(b, a) for b in [*after, "unknown"]) - 1) < 1e-9 for a in ("", "alpha", "nowhere"))
+
+    def ppl(t):
+        w = ["", *t.split(), "  "]
+        return np.exp(-sum(np.log(p(b, a)) for a, b in zip(w, w[1:])) / (len(w) - 1))
+
+    return ppl
+
+
+def test_word_pair_scores_match_plain_kneser_ney(spark):
+    r = np.random.default_rng(8)
+    made = [(n, int(r.integers(1, 3)), text(r, int(r.integers(1, 40)))) for n in ("en", "de") for _ in range(25)]
+    rows = [(k, n, f, t) for k, (n, f, t) in enumerate((n, f, t) for n in ("en", "de") for f in (0, 1, 2, 3) for t in ("alpha beta gamma", "gamma beta alpha", "alpha strange word", "unheard", made[0][2]))]
+    table, languages = quality.train(spark.createDataFrame(made, "name string, fold int, text string"))
+    got = dict(quality.perplexity(spark.createDataFrame(rows, "row long, name string, fold int, text string"), table, languages).collect())
+    for k, n, f, t in rows:
+        assert got[k] == pytest.approx(naive_pair_model([x for m, g, x in made if m == n and g != (f or None)])(t), rel=1e-4)
+    more = spark.createDataFrame([("en", 1, f"word{k} other{k}") for k in range(500)], "name string, fold int, text string")
+    assert quality.train(more)[0].count() >= 2 * quality.train(more.limit(250))[0].count() - 3
+
+
+def test_quality_sees_words_in_any_script_and_language(spark):
+    """Classes of characters scored texts of another script, other digits and later languages alike."""
+    r = np.random.default_rng(9)
+    cyrillic = ["собака", "кошка", "дерево", "солнце", "вода", "земля"]
+    rows = [(i, " ".join(r.choice(cyrillic, 40)), "ru") for i in range(60)] + [(100, " ".join(["".join(r.permutation(list(w))) + "ъщ" for w in r.choice(cyrillic, 40)]), "ru")]
+    rows += [(200 + 2 * k + j, f"only{k} spoken{k} here{k} " * 5, f"l{k}") for k in range(70) for j in (0, 1)]
+    rows += [(500, "eins zwei drei " * 9, None), (501, "only3 spoken3 here3", "none such")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    good = [(i,) for i in range(0, 60, 2)] + [(200 + 2 * k,) for k in range(70)]
+    out = {x.doc_id: x for x in quality.classify(d, spark.createDataFrame(good, "doc_id long")).collect()}
+    assert not out[100].keep and sum(out[i].keep for i in range(1, 60, 2)) >= 27
+    assert len({round(out[201 + 2 * k].perplexity, 3) for k in range(70)}) == 1
+    assert out[501].perplexity < out[500].perplexity
+
+
 # --- secrets ----------------------------------------------------------------------------------------------
 
 
