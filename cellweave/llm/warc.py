@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, materialize
 
 MAGIC = b"WARC/1.0\r\n"
-#: Bytes of an archive, of a range that one task scans, and of a header at most.
+#: Bytes of an archive, of a range that one task scans, and of what is read at once past a range for a header that crosses its end.
 FILE_BYTES, RANGE_BYTES, HEAD_BYTES = 64 << 20, 8 << 20, 16 << 10
 #: Payloads of fewer bytes are always stored.
 LEAST_BYTES = 100
@@ -107,14 +107,36 @@ def _parse(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
+def _read_on(data: bytes, at: int, start: int, size: int, more) -> tuple[bytes, int]:
+    """``data`` and what follows it in the file up to the blank line after ``at``, and where that is; -1 if there is none."""
+    head, step = bytearray(data), HEAD_BYTES
+    while start + len(head) < size:
+        seen = max(at, len(head) - 3)
+        got = more(start + len(head), min(step, size - start - len(head)))
+        if not got:
+            break
+        head += got
+        stop = head.find(b"\r\n\r\n", seen)
+        if stop >= 0:
+            return bytes(head), stop
+        step *= 2
+    return bytes(head), -1
+
+
 def _scan(data: bytes, start: int, end: int, size: int, more):
     """Candidates of the range [start, end): (offset, next, page, type, refers, bytes, digest); next is -1 if it can't be a record."""
-    at = data.find(MAGIC)
+    at, stop, last = data.find(MAGIC), -1, data.rfind(b"\r\n\r\n")
     while at >= 0 and start + at < end:
-        stop = data.find(b"\r\n\r\n", at, at + HEAD_BYTES)
-        fields = _parse(data[at:stop]) if stop > 0 else {}
+        head = data
+        if stop < at:  # else the blank line ahead is known already
+            stop = data.find(b"\r\n\r\n", at) if at < last else -1
+        if stop < 0 and data.find(MAGIC, at + 1) < 0:
+            head, stop = _read_on(data, at, start, size, more)
+        # A header holds the magic at its start only, so each byte is parsed once.
+        whole = stop >= 0 and head.find(MAGIC, at + 1, stop) < 0
+        fields = _parse(head[at:stop]) if whole else {}
         length = fields.get("content-length", "")
-        nxt = start + stop + 4 + int(length) + 4 if length.isdigit() else -1
+        nxt = start + stop + 4 + int(length) + 4 if re.fullmatch("[0-9]{1,18}", length) else -1
         page = re.fullmatch(r"<urn:page:(-?\d*)>", fields.get("warc-record-id", ""))
         if 0 < nxt <= size and page:
             refers = re.fullmatch(r"<urn:page:(-?\d+)>", fields.get("warc-refers-to", ""))
@@ -149,7 +171,7 @@ def _exits(off: np.ndarray, nxt: np.ndarray, end: int) -> np.ndarray:
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(path, offset, page_id, record_type, refers_to, payload_bytes, payload_digest) of the records that the chain from each file's start reaches."""
+    """(path, offset, page_id, record_type, refers_to, payload_bytes, payload_digest) of the records that the chain from each file's start reaches; an error if a file has other than its manifest row's ``n``."""
     parts = manifest.filter("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
     total = manifest.agg(F.sum("size")).first()[0] or 0
     parts = parts.repartition(max(1, min(100_000, -(-total // range_bytes))), "path", "start")
@@ -197,7 +219,11 @@ def read_archives(spark: SparkSession, manifest: DataFrame, folder: str, range_b
     marked = seen.join(reached.withColumn("entry", F.lit(True)), ["path", "off"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     out = marked.select("path", "part", "off", "nxt", "entry", "page_id", "record_type", "refers_to", "payload_bytes", "payload_digest")
     out = out.groupBy("path", "part").applyInPandas(follow, "path string, part long, off long, page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string")
-    return out.filter("record_type is not null").withColumnRenamed("off", "offset").drop("part")
+    out = materialize(out.filter("record_type is not null").withColumnRenamed("off", "offset").drop("part"), "warc-records")
+    short = manifest.select("path", "n").join(out.groupBy("path").agg(F.count(F.lit(1)).alias("read")), "path", "left").filter("coalesce(read, 0) <> n").limit(5).collect()
+    if short:
+        raise ValueError("archives don't hold the records of their manifest: " + ", ".join(f"{r['path']} ({r['read'] or 0} of {r['n']})" for r in short))
+    return out
 
 
 def op10_warc(spark, sf_dir):

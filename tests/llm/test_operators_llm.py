@@ -528,3 +528,19 @@ def test_archives_of_nothing_and_odd_ids(spark):
     folder = common.fresh_path(spark, "warc-odd")
     got = sorted((r.page_id or -1, r.record_type) for r in warc.read_archives(spark, warc.write_archives(p, folder, bound=0), folder).collect())
     assert got == [(-1, "revisit"), (3, "response"), (3, "response")]
+
+
+@pytest.mark.parametrize("range_bytes", [1 << 20, 700])
+def test_archives_hold_pages_of_very_long_urls(spark, range_bytes):
+    rows = [(1, "u", "a" * 50), (2, "é" * 9000, "b" * 500), (3, "x" * 70_000, "WARC/1.0\r\n" * 300), (4, "u", "b" * 500), (5, "u", "c")]
+    folder = common.fresh_path(spark, "warc-long")
+    m = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), folder)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.refers_to) for r in warc.read_archives(spark, m, folder, range_bytes).collect()}
+    assert got == {i: (len(h), hashlib.sha256(h.encode()).hexdigest(), 2 if i == 4 else None) for i, _, h in rows}
+
+
+def test_archives_that_lack_records_are_an_error(spark):
+    folder = common.fresh_path(spark, "warc-short")
+    m = warc.write_archives(spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string").coalesce(1), folder)
+    with pytest.raises(ValueError, match="2 of 3"):
+        warc.read_archives(spark, m.withColumn("n", F.col("n") + 1), folder).count()
