@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as Rows
 from pyspark.sql import functions as F
 
 from .array import ArrayMeta, CellArray
@@ -561,15 +562,21 @@ RUNS = """wr AS (SELECT l_orderkey AS wid, l_orderkey % 20 AS eid, l_partkey % 5
  po AS (SELECT l_orderkey AS wid, l_extendedprice AS overhead, l_quantity * 1048576 AS disk FROM lineitem WHERE l_linenumber = 1)"""
 
 
-def _t(spark, sf):
-    """Statistics tables with the columns that the queries read, from line items and orders."""
-    li = table(spark, sf, "lineitem").filter("l_linenumber = 1")
+def _t(spark, sf, every=False):
+    """Statistics tables with the columns that the queries read, from line items and orders; ``every``: a wid for each line item, otherwise the subset that the SQL of RUNS reads."""
+    li = table(spark, sf, "lineitem")
+    if every:
+        # Order and line repeat; rows that agree in what is read here may be numbered either way.
+        nth = F.row_number().over(Rows.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"))
+        li = li.withColumn("wid", (F.col("l_orderkey").cast("long") * 100 + F.col("l_linenumber")) * 1_000_000 + nth)
+    else:
+        li = li.filter("l_linenumber = 1").withColumn("wid", F.col("l_orderkey"))
     order = table(spark, sf, "orders")
     views = {
-        "workflow_run": li.select(F.col("l_orderkey").alias("wid"), (F.col("l_orderkey") % 20).alias("eid"), F.lit(1).cast("long").alias("runid"), (F.col("l_partkey") % 5).alias("opid"), F.concat(F.lit("op"), F.col("l_partkey") % 5).alias("op"), F.col("l_returnflag").alias("strat"), F.col("l_quantity").alias("opcost"), (F.col("l_quantity") * 3).alias("nptrs"), (F.col("l_quantity") % 7 + 1).alias("oclustsize"), (F.col("l_quantity") * 2).alias("noutcells"), (F.col("l_quantity") * 5).alias("outputsize")),
-        "workflow_inputs": li.select(F.col("l_orderkey").alias("wid"), F.lit(0).cast("long").alias("arridx"), (F.col("l_quantity") + 1).alias("area")),
-        "pstore_overhead": li.select(F.col("l_orderkey").alias("wid"), F.col("l_extendedprice").alias("overhead"), (F.col("l_quantity") * 1048576).alias("disk")),
-        "pstore_stats": li.select(F.col("l_orderkey").alias("wid"), F.lit(0).cast("long").alias("arridx"), (F.col("l_quantity") % 9 + 1).alias("fanin"), F.lit(9.0).alias("area"), ((F.col("l_quantity") % 9 + 1) / 9).alias("density")),
+        "workflow_run": li.select("wid", (F.col("l_orderkey") % 20).alias("eid"), F.lit(1).cast("long").alias("runid"), (F.col("l_partkey") % 5).alias("opid"), F.concat(F.lit("op"), F.col("l_partkey") % 5).alias("op"), F.col("l_returnflag").alias("strat"), F.col("l_quantity").alias("opcost"), (F.col("l_quantity") * 3).alias("nptrs"), (F.col("l_quantity") % 7 + 1).alias("oclustsize"), (F.col("l_quantity") * 2).alias("noutcells"), (F.col("l_quantity") * 5).alias("outputsize")),
+        "workflow_inputs": li.select("wid", F.lit(0).cast("long").alias("arridx"), (F.col("l_quantity") + 1).alias("area")),
+        "pstore_overhead": li.select("wid", F.col("l_extendedprice").alias("overhead"), (F.col("l_quantity") * 1048576).alias("disk")),
+        "pstore_stats": li.select("wid", F.lit(0).cast("long").alias("arridx"), (F.col("l_quantity") % 9 + 1).alias("fanin"), F.lit(9.0).alias("area"), ((F.col("l_quantity") % 9 + 1) / 9).alias("density")),
         "exec": order.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 4).alias("width"), (F.col("o_custkey") % 3).alias("height"), (F.col("o_custkey") % 5).alias("runmode"), F.when(F.col("o_orderstatus") == "F", "opt").when(F.col("o_orderstatus") == "O", "noop").otherwise("stats").alias("runtype"), F.lit(1).alias("finished"), F.lit(0.0).alias("diskconstraint"), F.lit(0.0).alias("runconstraint")),
         "pq": order.select(F.col("o_orderkey").alias("pqid"), F.col("o_orderkey").alias("eid"), F.lit(1).cast("long").alias("runid"), (F.col("o_orderkey") % 2).alias("forward"), F.col("o_totalprice").alias("cost")),
         "iq": li.select(F.col("l_orderkey").alias("pqid"), (F.col("l_partkey") % 5).alias("opid"), F.lit(0).cast("long").alias("arridx"), F.col("l_quantity").alias("noutputs"), (F.col("l_quantity") % 4).alias("ninputs"), (F.col("l_orderkey") % 2).alias("forward")),
@@ -651,7 +658,7 @@ def optimizer(spark, sf):
     from . import stats
     from .plans.optimizer import History
 
-    rows = stats.op_stats(_t(spark, sf), list(range(20))).orderBy("opid").collect()
+    rows = stats.op_stats(_t(spark, sf, every=True), list(range(20))).orderBy("opid").collect()
     order = ("fanin", None, "density", "oclustsize", "nptrs", "noutcells", "outputsize", "inputsize", "opcost")
     st = {(f"op{r['opid']}", 0): tuple(r["area"] if c is None else r[c] for c in order) for r in rows}
     hist = {key: History([(2.0, 3, 10.0)], [(4.0, 5, 10.0)]) for key in st}

@@ -88,3 +88,17 @@ def test_optimizer_spends_disk_only_where_allowed():
     assert p.cheaper("a", 0, Strategy.single(Mode.PTR, Spec.ONE, Spec.MANY), True, 10) != QUERY
     assert p.cheaper("a", 0, Strategy.single(Mode.PTR, Spec.ONE, Spec.MANY), False, 10) == QUERY
     assert str(Desc(Mode.PTR, Spec.ONE, Spec.NONE)) == "ONE_-1_b"
+
+
+def test_optimizer_reads_every_line_item_once(spark, monkeypatch):
+    from cellweave import queries, stats
+
+    seen, plain = [], stats.op_stats
+    monkeypatch.setattr(stats, "op_stats", lambda t, eids: seen.append((t, eids)) or plain(t, eids))
+    sf = "/root/testdata/sf0.001"
+    assert queries.optimizer(spark, sf).count() > 0
+    t, eids = seen[0]
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert sorted(eids) == list(range(20))
+    for name in ("workflow_run", "workflow_inputs", "pstore_overhead", "pstore_stats"):
+        assert t(name).count() == t(name).select("wid").distinct().count() == n
