@@ -3,8 +3,8 @@
 Everything on the main path is DataFrame expressions. Offsets come from
 splitting a text by a pattern and summing the lengths of gaps and matches, so
 no row-wise Python is needed. Candidate hashes are aggregated by distinct
-repositories and owners: a value that many owners share is a copied example,
-one that stays with a few owners is live-looking.
+repositories and owners: a value that many owners share, or many repositories
+of one owner, is a copied example, one that stays with a few is live-looking.
 """
 
 from __future__ import annotations
@@ -79,21 +79,21 @@ def ownership(candidates: DataFrame, repo: str, owner: str) -> DataFrame:
     return by_repo.groupBy("secret").agg(F.count(repo).alias("n_repos"), F.sum("n").alias("n_spans")).join(by_owner, "secret")
 
 
-def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", max_owners: int = 2) -> DataFrame:
+def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repos: int = 10) -> DataFrame:
     """One row per row of ``docs``: ``doc_id`` and ``spans`` (start, end, kind name, secret hash, n_owners, live).
 
     Base spans always stay. A bare token is added when at most ``max_owners``
-    owners hold its value and it overlaps no base span of its document.
-    ``live`` marks values of at most ``max_owners`` owners; others are copied
-    examples. A null or empty text has no spans. A null owner counts as no
-    owner; a value seen only there is live. Rows that repeat a doc_id are
+    owners and ``max_repos`` repositories hold its value and it overlaps no
+    base span of its document. ``live`` marks values of at most so many of
+    both; others are copied examples. A null or empty text has no spans. A
+    null owner counts as no owner, a null repository as none. Rows that repeat a doc_id are
     answered one by one. Extra columns are ignored.
     """
     rows = docs.select(F.col(doc_id).alias("_d"), F.col(repo).cast("string").alias("_r"), F.col(owner).cast("string").alias("_o"), F.col(text).alias("_t"))
     found = materialize(find_candidates(rows, "_t", ("_d", "_r", "_o")).withColumn("_row", F.monotonically_increasing_id()), "secrets")
     each = found.select("_row", "_r", "_o", F.explode("spans").alias("s")).select("_row", "_r", "_o", "s.*")
     stats = ownership(each, "_r", "_o")
-    told = each.join(stats, "secret").withColumn("live", F.col("n_owners") <= max_owners)
+    told = each.join(stats, "secret").withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos))
     told = told.filter((F.col("kind") < KINDS.index("bare")) | F.col("live"))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1)
     per = told.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("start", F.col("kind").alias("k"), "end", kind.alias("kind"), "secret", "n_owners", "n_repos", "live"))).alias("spans"))

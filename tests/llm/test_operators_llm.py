@@ -493,6 +493,14 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert [s.kind for s in got[21]] == ["assign"]
 
 
+def test_wide_copies_inside_one_owner_are_examples(spark):
+    wide, own = "Zq8" + "aB3dE5gH7" * 3, "Yt9" + "kL2mN4pQ6" * 3
+    rows = [(3 * i, f"see {wide} here") for i in range(11)] + [(300, f"token = {wide}")] + [(3 * i, f"see {own} here") for i in range(200, 210)]
+    got = {r.doc_id: r.spans for r in secrets.scan_secrets(frame(spark, rows)).collect()}
+    assert got[3] == [] and [(s.kind, s.n_owners, s.n_repos, s.live) for s in got[300]] == [("assign", 1, 12, False)]
+    assert [(s.kind, s.n_owners, s.n_repos, s.live) for s in got[600]] == [("bare", 1, 10, True)]
+
+
 # --- archives ------------------------------------------------------------------------------------------------
 
 
