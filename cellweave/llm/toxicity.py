@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, rewrite_texts, text_map
+from .common import materialize, rewrite_texts, semi_join, text_map
 
 #: Bounds of the sample that the model is fitted on: documents of each label, and characters in all.
 FIT_DOCS, FIT_CHARS = 3000, 24_000_000
@@ -80,8 +80,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """Model from a bounded sample of labelled documents outside the held-out fifth.
 
     Of each label the ``fit_docs`` documents with the smallest id hashes are
-    taken, then as many as fit in ``fit_chars``; weights restore the shares
-    that the labels have. Null ids, labels and texts don't count.
+    taken; of these, those that fit in the label's share of ``fit_chars`` (what
+    a label leaves goes to the other), in that order and passing over any that
+    don't. Weights restore the shares that the labels have. Null ids, labels
+    and texts don't count. It is an error if none of a label's texts is taken.
     """
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1)).select(F.col(doc_id).alias("_d"), F.col(label).alias("_y")).groupBy("_d").agg(F.max("_y").alias("_y")).filter(~held_out(F.col("_d")))
     shares = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -93,11 +95,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return {"bias": -6.0, "words": {}}
     rows = docs.select(F.col(doc_id).alias("_d"), F.col(text).alias("_t")).filter("_t is not null").join(F.broadcast(picked), "_d")
     rows = materialize(rows.groupBy("_d").agg(F.max("_y").alias("_y"), F.min("_t").alias("_t")).withColumn("_n", F.length("_t")), "toxicity-sample")
-    sizes = rows.select("_d", "_n").orderBy(F.xxhash64("_d"), "_d").toPandas()
-    last = int((sizes["_n"].cumsum() <= fit_chars).sum())
-    ids = sizes["_d"].iloc[:last].tolist()
+    sizes = rows.select("_d", "_n", "_y").orderBy(F.xxhash64("_d"), "_d").toPandas()
+    ids, left = [], fit_chars
+    groups = sorted((g for _, g in sizes.groupby("_y")), key=lambda g: g["_n"].sum())
+    for k, g in enumerate(groups):
+        room = left // (len(groups) - k)
+        for d, n in zip(g["_d"].tolist(), g["_n"].tolist()):
+            if n <= room:
+                ids.append(d)
+                room, left = room - n, left - n
     used = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in ids], rows.select("_d").schema)), "_d").orderBy("_d").toPandas() if ids else rows.limit(0).toPandas()
     y = used["_y"].to_numpy(np.int64)
+    for k in set(shares) - set(y.tolist()):
+        if semi_join(docs.filter(F.col(text).isNotNull()), known.filter(F.col("_y") == k).select(F.col("_d").alias(doc_id)), doc_id).limit(1).count():
+            raise ValueError(f"no text labelled {label} = {k} is in the sample of {fit_docs} documents and {fit_chars} characters")
     taken = {k: max(1, int((y == k).sum())) for k in shares}
     weight = np.array([shares[k] / taken[k] for k in y])
     return fit_noisy_or(used["_t"].tolist(), y, weight) if len(y) else {"bias": -6.0, "words": {}}

@@ -307,6 +307,16 @@ def test_toxicity_learns_from_bags_and_locates(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} >= {900, 901, None}
 
 
+def test_one_huge_text_leaves_the_rest_to_learn_from(spark):
+    rows, labels = toxic_corpus()
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    first = lab.filter(~toxicity.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    d = frame(spark, [(i, "x" * 300_000 if i == first else t) for i, t in rows])
+    assert toxicity.fit(d, lab, fit_chars=250_000)["words"]["grobian"] > 1
+    with pytest.raises(ValueError, match="toxic = 1"):
+        toxicity.fit(frame(spark, [(i, t + "x" * 300_000 * (y and i < 40)) for (i, t), (_, y) in zip(rows, labels) if not y or i < 40]), lab, fit_chars=250_000)
+
+
 def test_toxicity_without_labels(spark):
     d = frame(spark, ODD)
     none = spark.createDataFrame([], "doc_id long, toxic int")
