@@ -417,12 +417,27 @@ def jaccard_classes(docs: DataFrame, k: int = 4, percent: int = 85, doc_id: str
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` less near duplicates: of each component the smallest doc_id stays, once; rows with a null doc_id stay."""
-    comp = jaccard_classes(docs, k, percent)
-    stay = comp.filter("doc_id = component_id").select("doc_id").distinct()
+    """The rows of ``docs`` less near duplicates: of each component the smallest doc_id stays, once; rows with a null doc_id stay.
+
+    Different texts of a repeated doc_id are judged each for itself: one takes
+    part under the id, the others under ids of their own past 2**62. Of rows
+    that repeat both one stays.
+    """
+    known = docs.filter("doc_id is not null").withColumn("_own", F.xxhash64("text"))
+    texts = known.groupBy("doc_id").agg(F.min("_own").alias("_first"), F.max("_own").alias("_last")).filter("_first <> _last")
+    texts = materialize(texts.select("doc_id", "_first"), "jaccard-several-texts")
+    n = texts.limit(BROADCAST_ROWS + 1).count()
+    key = F.col("doc_id").cast("long")
+    if n:
+        known = known.join(F.broadcast(texts) if n <= BROADCAST_ROWS else texts, "doc_id", "left")
+        past = F.xxhash64("doc_id", "_own").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+        key = F.when(F.col("_first").isNull() | (F.col("_first") == F.col("_own")), key).otherwise(past)
+    known = known.withColumn("_own", key)
+    comp = jaccard_classes(known.select(F.col("_own").alias("doc_id"), "text"), k, percent)
+    stay = comp.filter("doc_id = component_id").select(F.col("doc_id").alias("_own")).distinct()
     few = stay.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    own = docs.filter("doc_id is not null").join(F.broadcast(stay) if few else stay, "doc_id", "left_semi")
-    return own.dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    own = known.join(F.broadcast(stay) if few else stay, "_own", "left_semi")
+    return own.dropDuplicates(["_own"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def op5_jaccard(spark, sf_dir):

@@ -274,6 +274,15 @@ def test_components_of_a_long_path(spark):
     assert all(got[k] == 0 for k in range(61)) and got[100] == got[102] == 100
 
 
+def test_keep_one_judges_each_text_of_a_repeated_id(spark):
+    r = np.random.default_rng(12)
+    a, b, c, e = (text(r, 80) for _ in range(4))
+    rows = [(1, a), (1, b), (1, a), (2, a + " more"), (7, b), (7, c), (8, e), (8, e), (9, ""), (9, None), (None, a)]
+    kept = [(x.doc_id, x.text) for x in jaccard.keep_one(frame(spark, rows)).collect()]
+    assert sorted(t for i, t in kept if i is not None and t) == sorted([next(t for i, t in kept if t in (a, a + " more") and i), b, c, e])
+    assert sorted((i, t) for i, t in kept if i == 8) == [(8, e)] and (None, a) in kept and (9, "") in kept and (9, None) in kept and (7, c) in kept
+
+
 # --- toxicity -----------------------------------------------------------------------------------------
 
 
