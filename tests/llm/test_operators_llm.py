@@ -571,3 +571,38 @@ def test_archives_that_lack_records_are_an_error(spark):
     m = warc.write_archives(spark.createDataFrame([(1, "u", "a"), (2, "u", "b")], "page_id long, url string, html string").coalesce(1), folder)
     with pytest.raises(ValueError, match="2 of 3"):
         warc.read_archives(spark, m.withColumn("n", F.col("n") + 1), folder).count()
+
+
+# --- personal data of odd sizes ---------------------------------------------------------------------------
+
+
+def test_personal_data_of_very_long_runs_and_lines(field):
+    import time
+
+    zeros = "0" * 5000
+    assert [x for x in pii.base_spans(f"at {zeros}1.2.3.4 and {zeros}256.1.1.1 x") if x[0] == 1] == [(1, 3, 3 + 5000 + 7)]
+    assert pii.base_spans("1.2.3.4.5.6.7.8.9") == naive_base("1.2.3.4.5.6.7.8.9")
+    start = time.time()
+    assert pii.base_spans("7" * 1_000_000) == [] and pii.base_spans("1.1." * 250_000)[:1] == [(1, 0, 7)]
+    assert pii.find_pii(["@" * 200_000 + " 1"], field) == [([], [])]
+    line = " ".join(["word"] * 200_000 + ["call", "(212)", "555-0187", "now"])
+    assert [x[0] for x in pii.find_pii([line, "x 1"], field)[0][1]] == [3]
+    many = "write +1 (524) 555-7373 or (212) 555-0187 now " * 4000
+    base, spans = pii.find_pii([many], field)[0]
+    assert len(base) == 4000 and len(spans) >= 8000 - 1
+    assert time.time() - start < 120
+
+
+def test_batches_of_lines_decode_as_lines_alone(field, monkeypatch):
+    r = np.random.default_rng(4)
+    words = ["call", "(212)", "555-0187", "a@b", "10.0.0.1", "4111", "1111", "(at)", "x", "+1"]
+    lines = [[pii.shape(w) for w in r.choice(words, int(r.integers(0, 30)))] for _ in range(60)]
+    alone = [field.viterbi([x])[0].tolist() for x in lines]
+    for size in (1, 40, 65_536):
+        monkeypatch.setattr(pii, "BATCH_WORDS", size)
+        assert [x.tolist() for x in field.viterbi(lines)] == alone
+
+
+def test_redact_without_a_size_column(spark, field):
+    d = spark.createDataFrame([(1, "mail a.b@c.org"), (2, None)], "doc_id long, text string")
+    assert sorted(pii.redact(d, field).collect()) == [(1, "mail [EMAIL]"), (2, None)]
