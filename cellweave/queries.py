@@ -558,41 +558,39 @@ def lineage_stats(spark, sf):
 
 # --- statistics: the analysis queries over stand-in rows ------------------------------------------
 
-RUNS = """wr AS (SELECT l_orderkey AS wid, l_orderkey % 20 AS eid, l_partkey % 5 AS opid, l_returnflag AS strat, l_quantity AS opcost FROM lineitem WHERE l_linenumber = 1),
- po AS (SELECT l_orderkey AS wid, l_extendedprice AS overhead, l_quantity * 1048576 AS disk FROM lineitem WHERE l_linenumber = 1)"""
+#: A wid for each line item. Order and line repeat; rows that agree in what is read here may be numbered either way.
+WID = "(l_orderkey * 100 + l_linenumber) * 1000000 + row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_quantity, l_extendedprice, l_returnflag)"
+RUNS = f"""li AS (SELECT *, {WID} AS wid FROM lineitem),
+ wr AS (SELECT wid, l_orderkey % 20 AS eid, l_partkey % 5 AS opid, l_returnflag AS strat, l_quantity AS opcost FROM li),
+ po AS (SELECT wid, l_extendedprice AS overhead, l_quantity * 1048576 AS disk FROM li)"""
 
 
-def _t(spark, sf, every=False):
-    """Statistics tables with the columns that the queries read, from line items and orders; ``every``: a wid for each line item, otherwise the subset that the SQL of RUNS reads."""
+def _t(spark, sf):
+    """Statistics tables with the columns that the queries read, from all line items and orders; a wid for each line item."""
     li = table(spark, sf, "lineitem")
-    if every:
-        # Order and line repeat; rows that agree in what is read here may be numbered either way.
-        nth = F.row_number().over(Rows.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"))
-        li = li.withColumn("wid", (F.col("l_orderkey").cast("long") * 100 + F.col("l_linenumber")) * 1_000_000 + nth)
-    else:
-        li = li.filter("l_linenumber = 1").withColumn("wid", F.col("l_orderkey"))
+    nth = F.row_number().over(Rows.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_quantity", "l_extendedprice", "l_returnflag"))
+    li = li.withColumn("wid", (F.col("l_orderkey").cast("long") * 100 + F.col("l_linenumber")) * 1_000_000 + nth)
     order = table(spark, sf, "orders")
     views = {
         "workflow_run": li.select("wid", (F.col("l_orderkey") % 20).alias("eid"), F.lit(1).cast("long").alias("runid"), (F.col("l_partkey") % 5).alias("opid"), F.concat(F.lit("op"), F.col("l_partkey") % 5).alias("op"), F.col("l_returnflag").alias("strat"), F.col("l_quantity").alias("opcost"), (F.col("l_quantity") * 3).alias("nptrs"), (F.col("l_quantity") % 7 + 1).alias("oclustsize"), (F.col("l_quantity") * 2).alias("noutcells"), (F.col("l_quantity") * 5).alias("outputsize")),
         "workflow_inputs": li.select("wid", F.lit(0).cast("long").alias("arridx"), (F.col("l_quantity") + 1).alias("area")),
-        "pstore_overhead": li.select("wid", F.col("l_extendedprice").alias("overhead"), (F.col("l_quantity") * 1048576).alias("disk")),
-        "pstore_stats": li.select("wid", F.lit(0).cast("long").alias("arridx"), (F.col("l_quantity") % 9 + 1).alias("fanin"), F.lit(9.0).alias("area"), ((F.col("l_quantity") % 9 + 1) / 9).alias("density")),
+        "capture_cost": li.select("wid", F.col("l_extendedprice").alias("overhead"), (F.col("l_quantity") * 1048576).alias("disk")),
+        "capture_shape": li.select("wid", F.lit(0).cast("long").alias("arridx"), (F.col("l_quantity") % 9 + 1).alias("fanin"), F.lit(9.0).alias("area"), ((F.col("l_quantity") % 9 + 1) / 9).alias("density")),
         "exec": order.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 4).alias("width"), (F.col("o_custkey") % 3).alias("height"), (F.col("o_custkey") % 5).alias("runmode"), F.when(F.col("o_orderstatus") == "F", "opt").when(F.col("o_orderstatus") == "O", "noop").otherwise("stats").alias("runtype"), F.lit(1).alias("finished"), F.lit(0.0).alias("diskconstraint"), F.lit(0.0).alias("runconstraint")),
         "pq": order.select(F.col("o_orderkey").alias("pqid"), F.col("o_orderkey").alias("eid"), F.lit(1).cast("long").alias("runid"), (F.col("o_orderkey") % 2).alias("forward"), F.col("o_totalprice").alias("cost")),
         "iq": li.select(F.col("l_orderkey").alias("pqid"), (F.col("l_partkey") % 5).alias("opid"), F.lit(0).cast("long").alias("arridx"), F.col("l_quantity").alias("noutputs"), (F.col("l_quantity") % 4).alias("ninputs"), (F.col("l_orderkey") % 2).alias("forward")),
         "exec_stats": order.select(F.col("o_orderkey").alias("eid"), F.col("o_totalprice").alias("disk")),
-        "pq_path": table(spark, sf, "lineitem").filter("l_orderkey < 500").select(F.col("l_orderkey").alias("pqid"), F.col("l_linenumber").cast("long").alias("idx"), F.concat(F.lit("op"), F.col("l_partkey") % 5).alias("op")),
+        "pq_path": table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("pqid"), F.col("l_linenumber").cast("long").alias("idx"), F.concat(F.lit("op"), F.col("l_partkey") % 5).alias("op")),
     }
     return views.__getitem__
 
 
-@query("stats_op", """WITH l AS (SELECT * FROM lineitem WHERE l_linenumber = 1)
-  SELECT CAST(a.l_partkey % 5 AS BIGINT) AS opid, CAST(0 AS BIGINT) AS arridx, round(avg(c.l_quantity % 9 + 1), 6) AS fanin, round(avg(a.l_quantity % 7 + 1), 6) AS oclustsize, round(avg(a.l_quantity * 3), 6) AS nptrs, round(avg(b.l_quantity + 1), 6) AS inputsize, round(avg(a.l_quantity), 6) AS opcost
-  FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey JOIN l c ON a.l_orderkey = c.l_orderkey WHERE a.l_orderkey % 20 IN (1, 2, 3) GROUP BY 1, 2""")
+@query("stats_op", cells_sql("""SELECT CAST(a.l_partkey % 5 AS BIGINT) AS opid, CAST(0 AS BIGINT) AS arridx, round(avg(c.l_quantity % 9 + 1), 6) AS fanin, round(avg(a.l_quantity % 7 + 1), 6) AS oclustsize, round(avg(a.l_quantity * 3), 6) AS nptrs, round(avg(b.l_quantity + 1), 6) AS inputsize, round(avg(a.l_quantity), 6) AS opcost
+  FROM li a JOIN li b ON a.wid = b.wid JOIN li c ON a.wid = c.wid GROUP BY 1, 2""", RUNS))
 def stats_op(spark, sf):
     from . import stats
 
-    q = stats.op_stats(_t(spark, sf), [1, 2, 3])
+    q = stats.op_stats(_t(spark, sf), list(range(20)))
     return q.select("opid", "arridx", *[F.round(c, 6).alias(c) for c in ("fanin", "oclustsize", "nptrs", "inputsize", "opcost")])
 
 
@@ -611,7 +609,7 @@ def stats_noops(spark, sf):
     return stats.matching_noops(_t(spark, sf), 1, (2, 1))
 
 
-@query("stats_selectivity", """SELECT opid, CAST(count(*) AS BIGINT) AS n, round(avg(noutputs / (ninputs + 1)), 6) AS sel FROM (SELECT CAST(l_partkey % 5 AS BIGINT) AS opid, l_quantity AS noutputs, l_quantity % 4 AS ninputs FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND l_orderkey % 2 = 1) GROUP BY 1""")
+@query("stats_selectivity", """SELECT opid, CAST(count(*) AS BIGINT) AS n, round(avg(noutputs / (ninputs + 1)), 6) AS sel FROM (SELECT CAST(l_partkey % 5 AS BIGINT) AS opid, l_quantity AS noutputs, l_quantity % 4 AS ninputs FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey % 2 = 1) GROUP BY 1""")
 def stats_selectivity(spark, sf):
     from . import stats
 
@@ -629,12 +627,12 @@ def stats_overheads(spark, sf):
 @query("overhead_having", cells_sql("SELECT opid, strat, round(avg(overhead), 4) AS mean, round(stddev_samp(overhead), 4) AS dev, round(min(overhead), 4) AS lo, round(max(overhead), 4) AS hi FROM wr JOIN po USING (wid) GROUP BY 1, 2 HAVING count(*) > 40", RUNS))
 def overhead_having(spark, sf):
     t = _t(spark, sf)
-    q = t("workflow_run").join(t("pstore_overhead"), "wid").groupBy("opid", "strat")
+    q = t("workflow_run").join(t("capture_cost"), "wid").groupBy("opid", "strat")
     q = q.agg(F.count(F.lit(1)).alias("c"), F.round(F.avg("overhead"), 4).alias("mean"), F.round(F.stddev_samp("overhead"), 4).alias("dev"), F.round(F.min("overhead"), 4).alias("lo"), F.round(F.max("overhead"), 4).alias("hi"))
     return q.filter("c > 40").drop("c")
 
 
-@query("stats_paths", "SELECT l_orderkey AS pqid, string_agg(concat('op', l_partkey % 5), ',' ORDER BY l_linenumber, concat('op', l_partkey % 5)) AS path FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
+@query("stats_paths", "SELECT l_orderkey AS pqid, string_agg(concat('op', l_partkey % 5), ',' ORDER BY l_linenumber, concat('op', l_partkey % 5)) AS path FROM lineitem GROUP BY 1")
 def stats_paths(spark, sf):
     from . import stats
 
@@ -658,7 +656,7 @@ def optimizer(spark, sf):
     from . import stats
     from .plans.optimizer import History
 
-    rows = stats.op_stats(_t(spark, sf, every=True), list(range(20))).orderBy("opid").collect()
+    rows = stats.op_stats(_t(spark, sf), list(range(20))).orderBy("opid").collect()
     order = ("fanin", None, "density", "oclustsize", "nptrs", "noutcells", "outputsize", "inputsize", "opcost")
     st = {(f"op{r['opid']}", 0): tuple(r["area"] if c is None else r[c] for c in order) for r in rows}
     hist = {key: History([(2.0, 3, 10.0)], [(4.0, 5, 10.0)]) for key in st}

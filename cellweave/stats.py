@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .plans.strategy import MAP
+
 #: Table schemas; ids are explicit columns.
 SCHEMAS = {
     "exec": "id long, time double, width long, height long, runmode long, runtype string, logdir string, finished long, notes string, diskconstraint double, runconstraint double, modelparamseid long",
@@ -12,8 +14,8 @@ SCHEMAS = {
     "opt_mappings": "eid long, opid long, op string, strat string",
     "workflow_run": "wid long, eid long, runid long, opid long, op string, strat string, nptrs double, oclustsize double, noutcells double, outputsize double, opcost double, outputdisk double",
     "workflow_inputs": "wid long, arridx long, area double",
-    "pstore_overhead": "wid long, save double, overhead double, serialize double, disk double, idx double",
-    "pstore_stats": "wid long, arridx long, fanin double, area double, density double",
+    "capture_cost": "wid long, save double, overhead double, serialize double, disk double, idx double",
+    "capture_shape": "wid long, arridx long, fanin double, area double, density double",
     "pq": "pqid long, eid long, runid long, forward long, cost double, maxres double",
     "pq_inputs": "pqid long, arridx long, ncells long",
     "pq_path": "pqid long, idx long, opid long, op string",
@@ -64,13 +66,13 @@ def similar(t, eid: int, series: bool = False, disk=None, runc=None) -> DataFram
 
 
 def store_stats(t, eids: list[int]) -> DataFrame:
-    q = t("pstore_stats").join(t("workflow_run").filter(F.col("eid").isin(eids) & (F.col("strat") != "s:Func")), "wid")
+    q = t("capture_shape").join(t("workflow_run").filter(F.col("eid").isin(eids) & (F.col("strat") != str(MAP))), "wid")
     return q.groupBy("opid", "arridx").agg(*[F.avg(c).alias(c) for c in ("fanin", "area", "density", "nptrs", "oclustsize", "noutcells", "opcost")])
 
 
 def op_stats(t, eids: list[int]) -> DataFrame:
     """(opid, arridx) and the nine averages, in the order that prediction takes them."""
-    ps = t("pstore_stats")
+    ps = t("capture_shape")
     q = t("workflow_run").filter(F.col("eid").isin(eids)).join(t("workflow_inputs").withColumnRenamed("area", "inputsize"), "wid").join(ps, ["wid", "arridx"])
     return q.groupBy("opid", "arridx").agg(*[F.avg(c).alias(c) for c in ("fanin", "area", "density", "oclustsize", "nptrs", "noutcells", "outputsize", "inputsize", "opcost")])
 
@@ -88,24 +90,24 @@ def selectivity(t, forward: bool) -> DataFrame:
 
 
 def disk_of(t, runid: int, op: str, strat: str, default: float = 0.0) -> float:
-    row = t("workflow_run").filter((F.col("runid") == runid) & (F.col("op") == op) & (F.col("strat") == strat)).join(t("pstore_overhead"), "wid").select(F.col("disk") / 1048576.0).first()
+    row = t("workflow_run").filter((F.col("runid") == runid) & (F.col("op") == op) & (F.col("strat") == strat)).join(t("capture_cost"), "wid").select(F.col("disk") / 1048576.0).first()
     return row[0] if row else default
 
 
 def overhead_of(t, runid: int, op: str, strat: str, default: float = 0.0) -> float:
-    row = t("workflow_run").filter((F.col("runid") == runid) & (F.col("op") == op) & (F.col("strat") == strat)).join(t("pstore_overhead"), "wid").select("overhead").first()
+    row = t("workflow_run").filter((F.col("runid") == runid) & (F.col("op") == op) & (F.col("strat") == strat)).join(t("capture_cost"), "wid").select("overhead").first()
     return row[0] if row else default
 
 
 def overheads(t) -> DataFrame:
     """Capture overhead and disk (MiB) of each operator and strategy, largest first."""
-    q = t("workflow_run").join(t("pstore_overhead"), "wid")
+    q = t("workflow_run").join(t("capture_cost"), "wid")
     return q.groupBy("op", "strat").agg(F.avg("overhead").alias("overhead"), (F.avg("disk") / 1048576.0).alias("disk"), F.avg("opcost").alias("opcost"))
 
 
 def query_costs(t) -> DataFrame:
     """Average cost of path queries by run type and direction, next to the overheads of their runs."""
-    runs = t("workflow_run").join(t("pstore_overhead"), "wid").groupBy("eid", "runid").agg(F.sum("overhead").alias("overhead"), F.sum("disk").alias("disk"))
+    runs = t("workflow_run").join(t("capture_cost"), "wid").groupBy("eid", "runid").agg(F.sum("overhead").alias("overhead"), F.sum("disk").alias("disk"))
     q = t("pq").join(t("exec").select(F.col("id").alias("eid"), "runtype"), "eid").join(runs, ["eid", "runid"])
     return q.groupBy("runtype", "forward").agg(F.avg("cost").alias("cost"), F.avg("overhead").alias("overhead"), F.avg("disk").alias("disk"))
 
@@ -123,5 +125,5 @@ def paths(t) -> DataFrame:
 
 
 def pivot_strategies(t, value: str = "overhead") -> DataFrame:
-    q = t("workflow_run").join(t("pstore_overhead"), "wid")
+    q = t("workflow_run").join(t("capture_cost"), "wid")
     return q.groupBy("op").pivot("strat").agg(F.avg(value))

@@ -100,5 +100,5 @@ def test_optimizer_reads_every_line_item_once(spark, monkeypatch):
     t, eids = seen[0]
     n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
     assert sorted(eids) == list(range(20))
-    for name in ("workflow_run", "workflow_inputs", "pstore_overhead", "pstore_stats"):
+    for name in ("workflow_run", "workflow_inputs", "capture_cost", "capture_shape"):
         assert t(name).count() == t(name).select("wid").distinct().count() == n

@@ -58,8 +58,8 @@ def test_statistics_tables(spark, tmp_path):
     assert [r.id for r in stats.similar(s.table, 1).collect()] == [2]
     s.append("workflow_run", [(7, 1, 1, 3, "Conv", "Q", 9.0, 1.0, 4.0, 16.0, 0.5, 0.0)])
     s.append("workflow_inputs", [(7, 0, 16.0)])
-    s.append("pstore_stats", [(7, 0, 9.0, 9.0, 1.0)])
-    s.append("pstore_overhead", [(7, 0.0, 0.25, 0.0, 2097152.0, 0.0)])
+    s.append("capture_shape", [(7, 0, 9.0, 9.0, 1.0)])
+    s.append("capture_cost", [(7, 0.0, 0.25, 0.0, 2097152.0, 0.0)])
     row = stats.op_stats(s.table, [1]).first()
     assert row["fanin"] == 9.0 and row["inputsize"] == 16.0
     assert stats.disk_of(s.table, 1, "Conv", "Q") == 2.0 and stats.overhead_of(s.table, 1, "none", "Q", 5.0) == 5.0
