@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..array import ArrayMeta
 from ..functions import box_of, decode_cell, encode_cell, grid_decode, grid_encode, in_box
 from ..plans.strategy import Desc, Mode, Spec, Strategy
-from ..storage import written
+from ..storage import bytes_of, written
 from .expr import Lineage, Table, Union
 
 #: Side of the squares by which boxes are found.
@@ -81,6 +81,10 @@ class Store(Lineage):
         else:
             self.table = written(pairs.select("key", encode_set(F.col("ins"), desc.inp, self.vmeta.ncols).alias("value")), "lineage")
 
+    def size(self) -> int:
+        """Bytes of the written tables."""
+        return sum(bytes_of(t) for t in (self.table, self.dictionary) if t is not None)
+
     def _values(self, rows: DataFrame) -> DataFrame:
         """(key, ins) with the value side as an array of cells."""
         if self.dictionary is not None:

@@ -14,9 +14,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, of the session or the context; in a local run where that is unset, a folder of our own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own:
             _own.append("file://" + tempfile.mkdtemp(prefix="cellweave-"))
         path = _own[0]
@@ -30,6 +32,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _content(spark: SparkSession, path: str) -> int:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
+def bytes_of(df: DataFrame) -> int:
+    """Bytes of the files that a written table consists of."""
+    return sum(_content(df.sparkSession, f) for f in df.inputFiles())
+
+
 class ArrayStore:
     """Arrays by content: equal shape, type and cells share a key, and an array is written once."""
 
@@ -60,6 +73,4 @@ class ArrayStore:
 
     def size(self, key: str) -> int:
         """Bytes on disk."""
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}")
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+        return _content(self.spark, f"{self.root}/{key}")

@@ -100,40 +100,54 @@ def test_window_property(spark, q, lo, width):
     assert got(rel.backward(cells(spark, q))) == want
 
 
-def small(spark):
-    img = CellArray.from_matrix(spark, [[0, 0, 1, 1], [0, 0, 0, 1], [1, 0, 0, 0], [1, 1, 0, 0]])
-    w = Workflow()
-    mean, diff, conv, clus = (w.register(o) for o in (core.Mean(), core.Diff(), stencil.Convolve(), Cluster()))
-    w.bind(mean, 0, img)
-    w.bind(diff, 0, img)
-    w.bind(conv, 1, CellArray.from_matrix(spark, [[1] * 3] * 3))
-    w.bind(clus, 1, CellArray.from_matrix(spark, [[0.5, 0.5]]))
-    w.connect(mean, diff, 1)
-    w.connect(diff, conv, 0)
-    w.connect(conv, clus, 0)
-    return w, mean, diff, conv, clus
-
-
-def test_small_workload(spark):
-    w, mean, diff, conv, clus = small(spark)
-    run = w.run(keep=(clus,))
-    q = cells(spark, [(0, 3)])
-    assert w.forward_path(q, run, [(clus, 0)]).count() == 3
-    with pytest.warns(UserWarning):
-        assert w.forward_path(q, run, [(mean, 0), (diff, 0), (conv, 0)]).count() == 16
-    path = [(mean, 0), (diff, 1), (conv, 0)]
-    assert w.forward_path(cells(spark, [(3, 3)]), run, path).count() == 16
-    assert w.forward_path(q, run, [*path, (clus, 0)]).count() == 6
-    assert got(w.backward_path(cells(spark, [(0, 2)]), run, [(clus, 0)]).cells) == {(0, 2), (0, 3), (1, 3)}
-    assert w.backward_path(None, run, [(conv, 0), (diff, 1), (mean, 0)]).hops[-1]["full"]
-    assert w.backward_path(cells(spark, [(1, 1)]), run, [(clus, 0)]).count() == 0
+#: The 4 x 4 image, kernel and threshold are fixed values; the graph is (operator, its arguments: a fixed array or the operator before).
+IMAGE, BLUR, LIMIT = [[0, 0, 1, 1], [0, 0, 0, 1], [1, 0, 0, 0], [1, 1, 0, 0]], [[1] * 3] * 3, [[0.5, 0.5]]
+GRAPH = {
+    "level": (core.Mean, [IMAGE]),
+    "residue": (core.Diff, [IMAGE, "level"]),
+    "blurred": (stencil.Convolve, ["residue", BLUR]),
+    "spots": (Cluster, ["blurred", LIMIT]),
+}
+
+
+def spot_finder(spark):
+    w, at = Workflow(), {name: kind() for name, (kind, _) in GRAPH.items()}
+    for name, (_, args) in GRAPH.items():
+        w.register(at[name])
+        for k, x in enumerate(args):
+            if isinstance(x, str):
+                w.connect(at[x], at[name], k)
+            else:
+                w.bind(at[name], k, CellArray.from_matrix(spark, x))
+    return w, at
+
+
+#: (way, cells, path, result: how many or which).
+SPOT_QUERIES = [
+    ("forward", [(0, 3)], [("spots", 0)], 3),
+    ("forward", [(3, 3)], [("level", 0), ("residue", 1), ("blurred", 0)], 16),
+    ("forward", [(0, 3)], [("level", 0), ("residue", 1), ("blurred", 0), ("spots", 0)], 6),
+    ("backward", [(0, 2)], [("spots", 0)], {(0, 2), (0, 3), (1, 3)}),
+    ("backward", [(1, 1)], [("spots", 0)], set()),
+]
+
+
+def test_spot_finder_paths(spark):
+    w, at = spot_finder(spark)
+    run = w.run(keep=(at["spots"],))
+    for way, q, path, want in SPOT_QUERIES:
+        found = got(getattr(w, f"{way}_path")(cells(spark, q), run, [(at[n], k) for n, k in path]).cells)
+        assert (len(found) if isinstance(want, int) else found) == want
+    with pytest.warns(UserWarning):  # the residue takes the level as its second argument
+        assert w.forward_path(cells(spark, [(0, 3)]), run, [(at["level"], 0), (at["residue"], 0), (at["blurred"], 0)]).count() == 16
+    assert w.backward_path(None, run, [(at["blurred"], 0), (at["residue"], 1), (at["level"], 0)]).hops[-1]["full"]
 
 
 def test_all_strategies_of_an_operator_agree(spark):
-    w, mean, diff, conv, clus = small(spark)
-    run = w.run(keep=(conv, clus))
+    w, at = spot_finder(spark)
+    run = w.run(keep=(at["blurred"], at["spots"]))
     q = cells(spark, [(0, 2), (3, 3)])
-    for op in (conv, clus):
+    for op in (at["blurred"], at["spots"]):
         want_b, want_f = (got(w.backward_path(q, run, [(op, 0)]).cells), got(w.forward_path(q, run, [(op, 0)]).cells))
         for s in [QUERY, MAP, Strategy.single(COMPOSITE), *[c for c in candidates() if c.modes == {Mode.PTR}][::5]]:
             assert got(w.backward_path(q, run, [(op, 0)], lambda *_: s).cells) == want_b, str(s)
@@ -141,7 +155,8 @@ def test_all_strategies_of_an_operator_agree(spark):
 
 
 def test_graph_rules_and_manifest(spark):
-    w, mean, diff, conv, clus = small(spark)
+    w, at = spot_finder(spark)
+    mean, diff, conv, clus = at.values()
     assert w.order() == [mean, diff, conv, clus] and set(w.roots()) == {mean, diff, conv, clus}
     assert [c for c, _ in w.children(mean)] == [diff]
     assert [len(p) for p in w.reach(mean, 3)] == [1, 2, 3]

@@ -1,11 +1,11 @@
 """Strategies, cost models by value, prediction, and the exact choice."""
 
 import itertools
-import math
 
 import pytest
 
-from cellweave.plans.cost import Shape, disk_model, query_model, write_model
+from cellweave.plans import calibrate, cost
+from cellweave.plans.cost import Shape, Volume, disk_model, fit, query_model, volume, write_model
 from cellweave.plans.optimizer import Choice, History, Predictor, choose, latest, optimize
 from cellweave.plans.strategy import COMPOSITE, MAP, NOOP, QUERY, STAT, Desc, Mode, Spec, Strategy, candidates
 
@@ -21,36 +21,49 @@ def test_names_and_equality():
     assert Strategy.single(Mode.PTR, Spec.ONE, Spec.KEY) == Strategy.single(Mode.PTR, Spec.ONE, Spec.KEY)
 
 
-def test_disk_by_value():
-    s = Shape(100, 25, 1.0, 1000)
-    one = Strategy.single(Mode.PTR, Spec.ONE, Spec.MANY)
-    assert disk_model(one, s) == math.ceil(1000 * ((4 + 4 * 101) * 1.2 + 5) / 4096) * 4096
-    many = Strategy.single(Mode.PTR, Spec.MANY, Spec.MANY)
-    outs = 4 + 4 * 26
-    raw = 40 * ((4 * 101 + outs + 4 + outs) * 1.2 + 10)
-    assert disk_model(many, s) == pytest.approx(40 * 84.18 + 7340 + math.ceil(raw / 4096) * 4096)
-    key = Strategy.single(Mode.PTR, Spec.ONE, Spec.KEY)
-    ikey = (18 + 4 * 101 + 22) / 25
-    assert disk_model(key, s) == math.ceil(1000 * ((ikey + 22) * 1.2 + 5 * (1 + 1 / 25)) / 4096) * 4096
-    back_one = Strategy.single(Mode.PTR, Spec.ONE, Spec.MANY, False)
-    assert disk_model(back_one, s) == math.ceil(40 * 100 * ((4 + 4 * 26) * 1.2 + 5) / 4096) * 4096
-    assert disk_model(QUERY, s) == disk_model(MAP, s) == 0
-
-
-def test_query_by_value():
-    s = Shape(100, 25, 1.0, 1000)
-    assert query_model(QUERY, s, 0.5, 10, 2.0, 1e6, True) == pytest.approx(0.5 + 2e-5)
-    assert query_model(MAP, s, 0.5, 10, 2.0, 1e6, True) == 0
-    one = Strategy.single(Mode.PTR, Spec.ONE, Spec.MANY)
-    per = 1000 * 2 * 1.95947313e-10 + (4 + 404) * 3.94434154e-08
-    want = 10 * 8.51511955261e-6 + 10 * per + 10 * (7.08e-07 + 3.17e-07 * 100)
-    assert query_model(one, s, 0.5, 10, 2.0, 1e6, True) == pytest.approx(want)
-    assert query_model(one, s, 0.5, 10, 2.0, 1e6, False) == 1e9
+S = Shape(fanin=100, fanout=25, density=0.5, noutput=1000)
+ONE, MANY = Strategy.single(Mode.PTR, Spec.ONE, Spec.MANY), Strategy.single(Mode.PTR, Spec.MANY, Spec.MANY)
+
+
+def test_volumes_count_what_a_layout_writes():
+    made = lambda mode, out, inp, back=True: volume(Desc(mode, out, inp, back), S)
+    assert made(Mode.PTR, Spec.MANY, Spec.MANY) == Volume(1, 1000, 4000, 0, 0)
+    assert made(Mode.PTR, Spec.ONE, Spec.MANY) == Volume(1, 1000, 4000, 96_000, 0)
+    assert made(Mode.PTR, Spec.ONE, Spec.MANY, False) == Volume(1, 4000, 1000, 99_000, 0)
+    assert made(Mode.PTR, Spec.ONE, Spec.KEY) == Volume(2, 1000, 4000, 0, 1040)
+    assert made(Mode.PTR, Spec.MANY, Spec.KEY) == Volume(2, 1000, 4000, 0, 80)
+    assert made(Mode.PTR, Spec.MANY, Spec.GRID) == Volume(1, 1000, 40 * 104, 0, 0)
+    assert made(Mode.PTR, Spec.MANY, Spec.BOX) == Volume(1, 1000, 160, 0, 0)
+    assert made(Mode.PT_MAPFUNC, Spec.ONE, Spec.BIN) == Volume(1, 1000, 2000, 0, 0)
+    assert disk_model(QUERY, S) == disk_model(MAP, S) == write_model(QUERY, S) == write_model(NOOP, S) == 0
+    assert disk_model(MANY, S) == pytest.approx(cost.BYTES["files"] + 5000 * cost.BYTES["cells"])
+
+
+def test_queries_against_a_layout_scan_all_of_it():
+    ask = lambda s, back, n=10: query_model(s, S, 0.5, n, 2.0, 1e6, back)
+    assert ask(QUERY, True) == pytest.approx(0.5 + 2e-5) and ask(Strategy(()), True) == cost.NO_LAYOUT
+    w = cost.QUERY_S
+    assert ask(ONE, True) == pytest.approx(w["tables"] + 1000 * w["scanned"] + 20 * w["matched"])
+    assert ask(ONE, False) == pytest.approx(w["tables"] + 101_000 * w["scanned"] + 20 * w["matched"])
     fwd = Strategy.single(Mode.PTR, Spec.ONE, Spec.MANY, False)
-    assert query_model(fwd, s, 0.5, 10, 2.0, 1e6, True) == 1e6
-    both = Strategy(one.buckets + fwd.buckets)
-    assert query_model(both, s, 0.5, 10, 2.0, 1e6, True) == pytest.approx(want)
-    assert query_model(Strategy(()), s, 0.5, 10, 2.0, 1e6, True) == 1e7
+    both = Strategy(ONE.buckets + fwd.buckets)
+    assert ask(both, True) == ask(ONE, True) and ask(both, False) == ask(fwd, False) < ask(ONE, False)
+    box = Strategy.single(Mode.PTR, Spec.MANY, Spec.BOX)
+    assert query_model(box, S, 8.0, 10, 2.0, 400, True) == pytest.approx(query_model(box, S, 0.0, 10, 2.0, 400, True) + 8.0 * 200 / 400)
+
+
+def test_fit_finds_the_weights_and_keeps_them_above_zero():
+    terms = [{"a": x, "b": y, "c": x * y} for x, y in itertools.product((1, 2, 5), (3, 4, 9))]
+    assert fit(terms, [2 * t["a"] + 0.5 * t["b"] for t in terms]) == pytest.approx({"a": 2.0, "b": 0.5, "c": 0.0}, abs=1e-9)
+    assert fit(terms, [max(0.1, 9 * t["a"] - t["b"]) for t in terms])["b"] >= 0
+
+
+def test_calibration_follows_measured_stores(spark):
+    rows = calibrate.measure_stores(spark, ((50, 9, 1), (400, 4, 5)), (Desc(Mode.PTR, Spec.ONE, Spec.MANY), Desc(Mode.PTR, Spec.MANY, Spec.KEY)), n_query=10)
+    weights = calibrate.calibrate(rows, n_query=10)
+    assert {k: set(v) for k, v in weights.items()} == {k: set(getattr(cost, k)) for k in ("BYTES", "CAPTURE", "QUERY_S")}
+    for d, s, size, *_ in rows:
+        assert cost.weigh(cost.byte_terms(d, s), weights["BYTES"]) == pytest.approx(size, rel=0.6)
 
 
 def test_write_costs_grow_with_output_and_are_nothing_for_free_modes():
@@ -86,7 +99,7 @@ def test_optimizer_spends_disk_only_where_allowed():
     assert rich["m"] == MAP == poor["m"] and poor["a"] == QUERY and dropped == [("a", 1)]
     assert any(d.backward and d.mode in (Mode.PTR, Mode.PT_MAPFUNC) for d in rich["a"].descs)
     assert p.cheaper("a", 0, Strategy.single(Mode.PTR, Spec.ONE, Spec.MANY), True, 10) != QUERY
-    assert p.cheaper("a", 0, Strategy.single(Mode.PTR, Spec.ONE, Spec.MANY), False, 10) == QUERY
+    assert p.cheaper("m", 0, ONE, True, 10) == QUERY  # running it again takes less than opening a store
     assert str(Desc(Mode.PTR, Spec.ONE, Spec.NONE)) == "ONE_-1_b"
 
 
