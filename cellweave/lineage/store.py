@@ -55,6 +55,14 @@ def decode_set(col, spec: Spec, ncols: int):
     return col
 
 
+def _inside(cells: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(i, j, box) for cells (i, j) that lie in a box: equal tiles first, then the comparison."""
+    span = lambda a: F.sequence(F.floor(F.col(f"box.lo_{a}") / BOX_TILE), F.floor(F.col(f"box.hi_{a}") / BOX_TILE))
+    tiles = boxes.select("box", F.explode(span("i")).alias("ti")).select("box", "ti", F.explode(span("j")).alias("tj"))
+    points = cells.select("i", "j", F.floor(F.col("i") / BOX_TILE).alias("ti"), F.floor(F.col("j") / BOX_TILE).alias("tj"))
+    return points.join(tiles, ["ti", "tj"]).filter(in_box(F.col("i"), F.col("j"), F.col("box"))).select("i", "j", "box")
+
+
 class Store(Lineage):
     """One capture (``Desc``) of one argument's lineage, written as Parquet.
 
@@ -98,27 +106,26 @@ class Store(Lineage):
         i, j = decode_cell(F.col("n"), meta.ncols)
         return numbers.select(i.alias("i"), j.alias("j"))
 
+    def _matched(self, q: DataFrame) -> DataFrame:
+        """Entries whose key set holds a query cell."""
+        if self.desc.out is Spec.ONE:
+            return self.table.join(q.withColumnRenamed("q", "key"), "key", "left_semi")
+        if self.desc.out is Spec.BOX:
+            return self._in_boxes(q, "key", self.kmeta)
+        keys = decode_set(F.col("key"), self.desc.out, self.kmeta.ncols)
+        hit = self.table.select("key", F.explode(keys).alias("q")).join(q, "q", "left_semi").select("key").distinct()
+        return self.table.join(hit, "key", "left_semi")
+
     def _along(self, cells: DataFrame) -> DataFrame:
         """Value cells of key cells."""
-        q = self._numbers(cells, self.kmeta)
-        if self.desc.out is Spec.ONE:
-            rows = self.table.join(q.withColumnRenamed("q", "key"), "key", "left_semi")
-        elif self.desc.out is Spec.BOX:
-            rows = self._in_boxes(q)
-        else:
-            keys = decode_set(F.col("key"), self.desc.out, self.kmeta.ncols)
-            hit = self.table.select("key", F.explode(keys).alias("q")).join(q, "q", "left_semi").select("key").distinct()
-            rows = self.table.join(hit, "key", "left_semi")
+        rows = self._matched(self._numbers(cells, self.kmeta))
         return self._cells(self._values(rows).select(F.explode("ins").alias("n")).distinct(), self.vmeta)
 
-    def _in_boxes(self, q: DataFrame) -> DataFrame:
-        """Entries whose key box holds a query cell: equal tiles first, then the comparison."""
-        i, j = decode_cell(F.col("q"), self.kmeta.ncols)
-        points = q.select(i.alias("pi"), j.alias("pj")).select("pi", "pj", F.floor(F.col("pi") / BOX_TILE).alias("ti"), F.floor(F.col("pj") / BOX_TILE).alias("tj"))
-        span = lambda a: F.sequence(F.floor(F.col(f"key.lo_{a}") / BOX_TILE), F.floor(F.col(f"key.hi_{a}") / BOX_TILE))
-        tiles = self.table.select("key", F.explode(span("i")).alias("ti")).select("key", "ti", F.explode(span("j")).alias("tj"))
-        hit = tiles.join(points, ["ti", "tj"]).filter(in_box(F.col("pi"), F.col("pj"), F.col("key"))).select("key").distinct()
-        return self.table.join(hit, "key", "left_semi")
+    def _in_boxes(self, q: DataFrame, side: str, meta: ArrayMeta) -> DataFrame:
+        """Entries whose box on a side holds a query cell."""
+        i, j = decode_cell(F.col("q"), meta.ncols)
+        hit = _inside(q.select(i.alias("i"), j.alias("j")), self.table.select(F.col(side).alias("box")).distinct())
+        return self.table.join(hit.select(F.col("box").alias(side)).distinct(), side, "left_semi")
 
     def _against(self, cells: DataFrame) -> DataFrame:
         """Key cells of value cells: one scan of the store."""
@@ -129,8 +136,24 @@ class Store(Lineage):
         return self._cells(hit.select(F.explode(keys).alias("n")).distinct(), self.kmeta)
 
     def _boxed(self, cells: DataFrame, back: bool) -> DataFrame:
-        """Value boxes only bound the answer: the exact relation is run again for what falls in them."""
-        return self.exact.backward(cells) if back else self.exact.forward(cells)
+        """The exact relation run again, held to what the stored boxes of matched entries admit."""
+        if back:
+            rows, found, side, spec, meta = self._matched(self._numbers(cells, self.kmeta)), self.exact.backward(cells), "value", self.desc.inp, self.vmeta
+        else:
+            q = self._numbers(cells, self.vmeta)
+            if self.desc.inp is Spec.BOX:
+                rows = self._in_boxes(q, "value", self.vmeta)
+            else:
+                hit = self._values(self.table).select("key", F.explode("ins").alias("q")).join(q, "q", "left_semi").select("key").distinct()
+                rows = self.table.join(hit, "key", "left_semi")
+            found, side, spec, meta = self.exact.forward(cells), "key", self.desc.out, self.kmeta
+        if spec is Spec.BOX:
+            return _inside(found.distinct(), rows.select(F.col(side).alias("box")).distinct()).select("i", "j").distinct()
+        if side == "value":
+            sets = self._values(rows).select("ins")
+        else:
+            sets = rows.select((F.array("key") if spec is Spec.ONE else decode_set(F.col("key"), spec, meta.ncols)).alias("ins"))
+        return found.distinct().join(self._cells(sets.select(F.explode("ins").alias("n")).distinct(), meta), ["i", "j"], "left_semi")
 
     def backward(self, cells):
         if Spec.BOX in (self.desc.out, self.desc.inp) and self.exact is not None:
@@ -144,9 +167,7 @@ class Store(Lineage):
 
     def bounds(self, cells: DataFrame) -> DataFrame:
         """Union bounding box of the matched entries' value boxes, one row: what a boxed re-execution reads of its input."""
-        rows = self._in_boxes(self._numbers(cells, self.kmeta)) if self.desc.out is Spec.BOX else self.table
-        if self.desc.out is Spec.ONE:
-            rows = rows.join(self._numbers(cells, self.kmeta).withColumnRenamed("q", "key"), "key", "left_semi")
+        rows = self._matched(self._numbers(cells, self.kmeta))
         return rows.agg(F.min("value.lo_i").alias("lo_i"), F.min("value.lo_j").alias("lo_j"), F.max("value.hi_i").alias("hi_i"), F.max("value.hi_j").alias("hi_j"))
 
     def edges(self, spark):

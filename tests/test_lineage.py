@@ -80,6 +80,13 @@ def test_boxes_bound_and_rerun(spark):
         assert got(s.backward(q)) == got(rel.backward(q)) and got(s.forward(q)) == got(rel.forward(q))
     b = Store(Desc(Mode.PTR, Spec.ONE, Spec.BOX), M, M, rel.edges(spark), rel).bounds(q).first()
     assert tuple(b) == (0, 0, 4, 5)
+    for out, inp in ((Spec.ONE, Spec.BOX), (Spec.BOX, Spec.BOX), (Spec.BOX, Spec.KEY), (Spec.BOX, Spec.MANY)):
+        s = Store(Desc(Mode.PTR, out, inp), M, M, rel.edges(spark), rel)
+        assert got(s.backward(q)) == got(rel.backward(q)) and got(s.forward(q)) == got(rel.forward(q))
+        s.table = s.table.limit(0)  # without its boxes a store can't answer
+        assert not got(s.backward(q)) and not got(s.forward(q))
+    many = Store(Desc(Mode.PTR, Spec.MANY, Spec.BOX), M, M, rel.edges(spark), rel)
+    assert tuple(many.bounds(cells(spark, [(0, 0)])).first()) == (0, 0, 1, 1)
     with pytest.raises(ValueError):
         Desc(Mode.PTR, Spec.BOX, Spec.MANY, False)
 
