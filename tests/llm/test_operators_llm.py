@@ -606,3 +606,38 @@ def test_batches_of_lines_decode_as_lines_alone(field, monkeypatch):
 def test_redact_without_a_size_column(spark, field):
     d = spark.createDataFrame([(1, "mail a.b@c.org"), (2, None)], "doc_id long, text string")
     assert sorted(pii.redact(d, field).collect()) == [(1, "mail [EMAIL]"), (2, None)]
+
+
+# --- what the nearest-neighbour join sends ------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("tight", [True, False])
+def test_knn_sends_rows_where_they_may_count(spark, tight):
+    """Far clusters get their own rows; where bounds say nothing, all groups share one copy of the table."""
+    r = np.random.default_rng(12)
+    centre = r.normal(size=(6, 16))
+    x = centre[np.arange(600) % 6] * 40 + r.normal(size=(600, 16)) * 0.05 if tight else r.normal(size=(600, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(600)], "vec_id long, embedding array<double>")
+    asked, sent, _, _ = knn.route(df, F.col("id") % 10 < 2, 3, "vec_id", "embedding", 40 if tight else 8, 50_000, 10_000)
+    n, groups = sent.count(), asked.select("g").distinct().count()
+    assert (groups > 1 and n < groups * 600 / 3) if tight else (groups == 1 and n == 600)
+    got = {}
+    for q in knn.knn_join(df, F.col("id") % 10 < 2, k=3, n_pivots=40 if tight else 8, block_rows=130, block_queries=50).collect():
+        got.setdefault(q.query_id, []).append((q.vec_id, q.score))
+    v = np.floor(1024 * x).astype(np.int64)
+    for q in (i for i in range(600) if i % 10 < 2):
+        s = v @ v[q]
+        assert sorted(got[q], key=lambda y: (-y[1], y[0])) == sorted(((i, int(s[i])) for i in range(600) if i != q), key=lambda y: (-y[1], y[0]))[:3]
+
+
+def test_top_k_by_steps(monkeypatch):
+    r = np.random.default_rng(13)
+    x, ids = r.integers(-3, 4, (300, 4)), r.permutation(300)
+    want = {q: sorted(((-int(x[a] @ x[b]), int(ids[b])) for b in range(300) if b != a))[:5] for a, q in enumerate(ids.tolist())}
+    for rows, queries in ((16_384, 256), (7, 11), (3, 300)):
+        monkeypatch.setattr(knn, "STEP_ROWS", rows)
+        monkeypatch.setattr(knn, "STEP_QUERIES", queries)
+        got = knn.top_k(ids, x, ids, x, 5, 3)
+        for q, g in got.groupby("query_id"):
+            assert sorted(zip(-g["score"], g["vec_id"])) == want[q]
+        assert len(got) == 1500
