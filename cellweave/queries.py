@@ -211,12 +211,6 @@ def remove_cr(spark, sf):
     return stencil.RemoveCRs().compute([a, a.with_values(F.col("v") > cut, "boolean")]).df
 
 
-@query("cr_mask")
-def cr_mask(spark, sf):
-    a = star_image(spark, 128)
-    return stencil.CRDetect().compute([a, const(spark, LAPLACIAN)]).df
-
-
 @query("star_image")
 def star(spark, sf):
     return star_image(spark, 128).df
@@ -675,3 +669,6 @@ def strategies(spark, sf):
 def edges_table(spark, sf):
     e = Match(META, META, "j", "i").edges(spark)
     return Table(META, META, e).backward(bright(spark, sf)).distinct()
+
+
+from . import scenarios  # noqa: E402, F401
