@@ -641,3 +641,36 @@ def test_top_k_by_steps(monkeypatch):
         for q, g in got.groupby("query_id"):
             assert sorted(zip(-g["score"], g["vec_id"])) == want[q]
         assert len(got) == 1500
+
+
+# --- pre-tokens ---------------------------------------------------------------------------------------------
+
+
+def test_encoder_matches_the_library(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path) as f:
+        enc, tok = tokenfile.Encoder(f.read()), Tokenizer.from_file(path)
+    r = np.random.default_rng(15)
+    plain = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d", "'", "a", "B", "é", "É", "Ÿ", "Ż", "ß", "1", "9", " ", "\n", "\t", "-", "!", "<", "it", "DON", "_", "e", "l"]
+    odd = ["|", "×", "İ", "ŉ", "ſ", "中", "\0", "\x1c", "<|endoftext|>", "é", " ", "Σ"]
+    for words in (plain, plain + odd):
+        texts = ["".join(r.choice(words, int(r.integers(0, 15)))) for _ in range(1500)] + ["", "x" * 50_000, "'", "9" * 70]
+        for cache in (400_000, 5):
+            monkeypatch.setattr(tokenfile, "CACHE", cache)
+            for t, ids in zip(texts, enc(pa.array(texts, pa.string()), 1).to_pylist()):
+                assert np.frombuffer(ids, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids + [1], repr(t[:60])
+
+
+def test_token_files_of_one_id(spark):
+    """Rows that share an id, or have none, are cut into files like any others."""
+    import public_tokenizers
+
+    rows = [(None, f"alpha {k} beta") for k in range(300)] + [(7, f"gamma {k} delta") for k in range(300)]
+    m = tokenfile.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), f"{common.shared_dir(spark)}/tokens-one", public_tokenizers.path("word_bpe_49k.json"), file_chars=1000)
+    got = sorted(tokenfile.read_tokens(m, common.shared_dir(spark), ids=False).collect(), key=lambda x: x.start)
+    assert m.count() > 4 and [x.doc_id for x in got] == [None] * 300 + [7] * 300
+    assert [x.start for x in got] == np.cumsum([0] + [x.n_tokens for x in got])[:-1].tolist()
