@@ -1,31 +1,44 @@
 """Quality by an interpolated modified Kneser-Ney model of trusted text.
 
 N-grams are pairs of whole words, counted over all trusted texts of a language
-and hash-sharded by Spark, so the model grows with the corpus and is nowhere
-held whole: entries become additive scores (see ``train``), and documents'
-words and word pairs are joined to them. Thresholds are a quantile of the
-trusted perplexities of a language, each by a model without the text's fold,
-since a text's own counts would make it look better than any other text.
+and sharded by hash, so the model grows with the corpus and is nowhere held
+whole. Texts are read in blocks; what a block counts, or asks, goes to each
+shard as one packed message of numbered words, a few bytes for a pair instead
+of a row. Thresholds are a quantile of the trusted perplexities of a language,
+each by a model without the text's fold, since a text's own counts would make
+it look better than any other text.
 
 The small character model (``_codes``, ``kneser_ney``) isn't part of the query.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
+from collections import defaultdict
+from contextlib import contextmanager
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize
+from .common import BROADCAST_ROWS, fresh_path, materialize, release, remove_path, small_batches
 
 N, CLASSES = 4, 32
 #: A run of letters, marks and digits; one character of a script without spaces; one other symbol.
-_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-WORD = rf"[{_ALONE}]|[\p{{L}}\p{{M}}\p{{N}}&&[^{_ALONE}]]+|[^\s\p{{Z}}]"
+_ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+WORD = rf"(?V1)[{_ALONE}]|[\p{{L}}\p{{M}}\p{{N}}--[{_ALONE}]]+|[^\s\p{{Z}}]"
+_FULL, _PLAIN = regex.compile(WORD), re.compile(r"[a-z0-9]+|[^a-z0-9\t-\r\x20]")
 #: Parts of the trusted texts that are left out in turn.
 FOLDS = 4
+#: Words of a block of texts, and trusted characters (and characters asked for at once) of a shard: what a task holds.
+BLOCK_WORDS, SHARD_CHARS = 2_000_000, 16_000_000
+#: Turns in which documents are scored, so that only a part of their words lies on disk at a time.
+ROUNDS = 6
+#: Between tasks: 0 pairs of a shard, 1 words of a pair shard, 2 and 3 sums of pairs and words by name, 4 words of a shard, 5 sums sent back, 6 languages, 7 questions.
+MESSAGE = "shard long, kind int, name string, values array<double>, blob binary"
 
 
 def class_table() -> np.ndarray:
@@ -88,76 +101,411 @@ def discounts(n: list[Column]) -> list[Column]:
     return [F.when(n[r - 1] > 0, F.least(F.greatest(r - (r + 1) * y * n[r] / n[r - 1], F.lit(0.05)), F.lit(float(r)))).otherwise(0.5 * r) for r in (1, 2, 3)]
 
 
-def _times(c: Column, r: int) -> Column:
-    return F.sum((c == r).cast("long"))
+def _words(text: str, ids) -> np.ndarray:
+    """Numbers of a text start, its words and a text end (two spaces) in the growing dictionary ``ids``."""
+    text = text.lower()
+    pattern = _PLAIN if text.isascii() else _FULL
+    found = pattern.findall(text) if len(text) < 1_000_000 else (m[0] for m in pattern.finditer(text))
+    n = ids[""], ids["  "]
+    return np.concatenate([[n[0]], np.fromiter(map(ids.__getitem__, found), np.int64), [n[1]]])
 
 
-def _cut(c: Column, d: list[Column]) -> Column:
-    return F.when(c >= 3, d[2]).when(c == 2, d[1]).when(c == 1, d[0]).otherwise(0.0)
+def _dictionary():
+    ids = defaultdict()
+    ids.default_factory = ids.__len__
+    return ids
 
 
-def word_keys(name: Column, text: Column) -> Column:
-    """Hashes of a language's words, of a text start before them (the word "") and a text end after them (two spaces)."""
-    words = F.concat(F.array(F.lit("")), F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), F.array(F.lit("  ")))
-    return F.transform(words, lambda w: F.xxhash64(name.isNull(), name, w))
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One 64-bit key for two."""
+    k = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for c in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        k = (k ^ (k >> np.uint64(33))) * np.uint64(c)
+    return k ^ (k >> np.uint64(33))
 
 
-def train(trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Score table (key, v0, ...) and languages (name, unk0, ...) of trusted (name, fold, text).
+def _shard(key: np.ndarray, shards: int) -> np.ndarray:
+    return ((key >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
 
-    ``v0`` comes from all texts, ``vk`` from those outside fold k. A text's log
-    probability is the sum of ``v`` over its words and word pairs that the
-    table holds, and ``unk`` for each word and the text end. With interpolation,
-    p(b | a) = bow(a) p(b) (1 + (c(ab) - D) / (g(a) p(b))), where g(a) is the
-    count mass that discounts take from a: a word's entry is log p + log bow -
-    unk, a pair's entry the logarithm of the last factor, 0 if it was not seen.
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays as byte planes, compressed: small numbers and sorted steps leave their high planes empty."""
+    import zstandard
+
+    arrays = [np.ascontiguousarray(a) for a in arrays]
+    head = json.dumps([(a.dtype.str, len(a)) for a in arrays]).encode()
+    body = b"".join(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays)
+    return zstandard.compress(len(head).to_bytes(4, "little") + head + body, 1)
+
+
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.decompress(bytes(blob))
+    at = 4 + int.from_bytes(raw[:4], "little")
+    out = []
+    for kind, n in json.loads(raw[4:at]):
+        size = np.dtype(kind).itemsize
+        out.append(np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n).T.copy().view(kind).reshape(n))
+        at += n * size
+    return out
+
+
+def _steps(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def _blocks(batches):
+    """Blocks of about BLOCK_WORDS words: (rows without their texts, word keys, name number of each key, names, word numbers of all texts, words of each text)."""
+    import xxhash
+
+    dictionaries, kept, texts, n = {}, [], [], 0
+
+    def block():
+        keys, number, shift, at = [], [], {}, 0
+        for k, (name, ids) in enumerate(dictionaries.items()):
+            seed = xxhash.xxh3_64_intdigest(json.dumps(name))
+            keys.append(np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in ids), np.uint64, len(ids)))
+            number.append(np.full(len(ids), k, np.int64))
+            shift[name] = at
+            at += len(ids)
+        words = np.concatenate([w + shift[r["name"]] for r, w in zip(kept, texts)])
+        return kept, np.concatenate(keys), np.concatenate(number), list(dictionaries), words, np.array([len(w) for w in texts])
+
+    for whole in batches:
+        for start in range(0, whole.num_rows, 200):
+            for r in whole.slice(start, 200).to_pylist():
+                text = r.pop("text")
+                texts.append(_words(text, dictionaries.setdefault(r["name"], _dictionary())))
+                kept.append(r)
+                n += len(texts[-1])
+                if n >= BLOCK_WORDS:
+                    yield block()
+                    dictionaries, kept, texts, n = {}, [], [], 0
+    if kept:
+        yield block()
+
+
+def _pairs(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Positions of words that a word of the same text follows."""
+    last = np.zeros(len(words), bool)
+    last[np.cumsum(size) - 1] = True
+    return np.flatnonzero(~last)
+
+
+def _vocabulary(keys: np.ndarray, number: np.ndarray, names: list, used: np.ndarray):
+    """Used keys in ascending order, their name numbers, and the place of each old number."""
+    order = used[np.argsort(keys[used])]
+    place = np.zeros(len(keys), np.int64)
+    place[order] = np.arange(len(order))
+    return keys[order], number[order], place
+
+
+def _message(shard, kind, name=None, values=None, blob=None):
+    return {"shard": int(shard), "kind": kind, "name": name, "values": values, "blob": blob}
+
+
+def _names(names: list) -> np.ndarray:
+    return np.frombuffer(json.dumps(names).encode(), np.uint8)
+
+
+def _join_words(parts):
+    """Union of (keys, name numbers, names) vocabularies: keys, name numbers, names, and each part's places in it."""
+    names = list(dict.fromkeys(n for _, _, own in parts for n in own))
+    at = {n: k for k, n in enumerate(names)}
+    every = np.concatenate([k for k, _, _ in parts])
+    number = np.concatenate([np.array([at[n] for n in own], np.int64)[num] if len(num) else num for _, num, own in parts])
+    keys, first, place = np.unique(every, return_index=True, return_inverse=True)
+    return keys, number[first], names, np.split(place, np.cumsum([len(k) for k, _, _ in parts])[:-1])
+
+
+def _without(c: np.ndarray) -> np.ndarray:
+    """Counts of all folds, then without each fold, from counts by fold."""
+    total = c.sum(0)
+    return np.stack([total, *(total - x for x in c)])
+
+
+def _stats(shard, kind, number, names, of):
+    """A row of sums for each name; ``of(mask)`` gives the values."""
+    return [_message(shard, kind, n, [float(x) for x in of(number == k)]) for k, n in enumerate(names) if (number == k).any()]
+
+
+def _times(c: np.ndarray) -> list[int]:
+    return [int((x == r).sum()) for x in c for r in (1, 2, 3, 4)]
+
+
+def _count(trusted: DataFrame, shards: int) -> DataFrame:
+    """Messages (shard, kind 0) of the word pairs of blocks of texts, to the shard of the pair."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for kept, keys, number, names, words, size in _blocks(batches):
+            at = _pairs(words, size)
+            fold = np.repeat([r["fold"] for r in kept], size)[at]
+            pair, place = np.unique(words[at] * len(keys) + words[at + 1], return_inverse=True)
+            counts = np.stack([np.bincount(place[fold == f], minlength=len(pair)) for f in range(1, FOLDS + 1)]).astype(np.uint32)
+            a, b = pair // len(keys), pair % len(keys)
+            to = _shard(_mix(keys[a], keys[b]), shards)
+            out = []
+            for s in np.unique(to):
+                m = to == s
+                k, num, where = _vocabulary(keys, number, names, np.unique(np.concatenate([a[m], b[m]])))
+                x, y, c = where[a[m]], where[b[m]], counts[:, m]
+                order = np.lexsort((y, x))
+                out.append(_message(s, 0, blob=_pack(_steps(k), num.astype(np.uint32), _names(names), _steps(x[order]).astype(np.uint32), y[order].astype(np.uint32), *c[:, order])))
+            yield pa.RecordBatch.from_pylist(out, _arrow())
+        release()
+
+    return trusted.select("name", "fold", "text").mapInArrow(run, MESSAGE)
+
+
+def _arrow():
+    import pyarrow as pa
+
+    return pa.schema([("shard", pa.int64()), ("kind", pa.int32()), ("name", pa.string()), ("values", pa.list_(pa.float64())), ("blob", pa.binary())])
+
+
+def _read_pairs(blob: bytes):
+    """(keys, name numbers, names, a, b, counts by fold) of a packed set of pairs."""
+    k, num, names, a, b, *c = _unpack(blob)
+    return np.cumsum(k), num.astype(np.int64), json.loads(names.tobytes()), np.cumsum(a.astype(np.int64)), b.astype(np.int64), np.stack(c).astype(np.int64)
+
+
+def _merge_pairs(shards: int):
+    """Of a shard's pairs: their counts (kind 0), counts of counts by name (2), and words' sums for the words' shards (1)."""
+
+    def run(key, rows):
+        import pandas as pd
+
+        s = int(key[0])
+        parts = [_read_pairs(x) for x in rows["blob"]]
+        keys, number, names, places = _join_words([p[:3] for p in parts])
+        pair = np.concatenate([w[p[3]] * len(keys) + w[p[4]] for p, w in zip(parts, places)])
+        counts = np.concatenate([p[5] for p in parts], axis=1)
+        del parts
+        pair, at = np.unique(pair, return_inverse=True)
+        counts = np.stack([np.bincount(at, x, len(pair)) for x in counts]).astype(np.int64)
+        a, b = pair // len(keys), pair % len(keys)
+        c = _without(counts)
+        out = [_message(s, 0, blob=_pack(_steps(keys), number.astype(np.uint32), _names(names), _steps(a).astype(np.uint32), b.astype(np.uint32), *counts.astype(np.uint32)))]
+        out += _stats(s, 2, number[a], names, lambda m: _times(c[:, m]))
+        sums = [np.bincount(b, x > 0, len(keys)) for x in c] + [np.bincount(a, x, len(keys)) for x in c]
+        sums += [np.bincount(a, t, len(keys)) for test in (lambda x: x == 1, lambda x: x == 2, lambda x: x >= 3) for t in map(test, c)]
+        sums = np.stack(sums).astype(np.int64)
+        to = _shard(keys, shards)
+        for t in np.unique(to):
+            m = to == t
+            out.append(_message(t, 1, values=[float(s)], blob=_pack(_steps(keys[m]), number[m].astype(np.uint32), _names(names), *_small(sums[:, m]))))
+        return pd.DataFrame(out, columns=_arrow().names)
+
+    return run
+
+
+def _small(sums: np.ndarray) -> np.ndarray:
+    return sums.astype(np.uint32 if not sums.size or sums.max() < 2**32 else np.uint64)
+
+
+def _merge_words(key, rows):
+    """Of a shard's words: their sums (kind 4), sums by name (3), and the sums of each pair shard's words, in its order (5)."""
+    import pandas as pd
+
+    s = int(key[0])
+    parts = [_unpack(x) for x in rows["blob"]]
+    keys, number, names, places = _join_words([(np.cumsum(k), n.astype(np.int64), json.loads(own.tobytes())) for k, n, own, *_ in parts])
+    sums = np.zeros((5 * (FOLDS + 1), len(keys)), np.int64)
+    for (_, _, _, *own), w in zip(parts, places):
+        sums[:, w] += np.stack(own).astype(np.int64)
+    after = sums[: FOLDS + 1]
+    out = [_message(s, 4, blob=_pack(_steps(keys), number.astype(np.uint32), _names(names), *_small(sums)))]
+    out += _stats(s, 3, number, names, lambda m: [*_times(after[:, m]), *after[:, m].sum(1), *(after[:, m] > 0).sum(1)])
+    out += [_message(v[0], 5, values=[float(s)], blob=_pack(*_small(sums[:, w]))) for v, w in zip(rows["values"], places)]
+    return pd.DataFrame(out, columns=_arrow().names)
+
+
+def train(trusted: DataFrame, shards: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Count table, as packed messages (shard, kind, name, values, blob), and languages (name, unk0, ..., values) of trusted (name, fold, text).
+
+    Pairs are counted inside blocks of texts, then in the shard of the pair's
+    hash, so a frequent word is spread over all shards; what a pair needs of
+    its words (in how many contexts they stand, what discounts take from
+    them) is summed in the shards of the words and sent back. Counts are kept
+    by fold, so every fold can be left out.
     """
     ks = range(FOLDS + 1)
-    keys = trusted.select("name", "fold", word_keys(F.col("name"), F.col("text")).alias("w"))
-    each = keys.select("name", "fold", "w", F.explode(F.sequence(F.lit(1), F.size("w") - 1)).alias("i")).select("name", "fold", F.get("w", F.col("i") - 1).alias("a"), F.get("w", "i").alias("b"))
-    n = [F.count(F.lit(1)).alias("c0"), *(F.sum((F.col("fold") != k).cast("long")).alias(f"c{k}") for k in ks[1:])]
-    pairs = materialize(each.groupBy("name", "a", "b").agg(*n), "quality-pairs")
-    same = lambda x: x.withColumnRenamed("name", "of")
-
-    counted = pairs.groupBy("name").agg(*(_times(F.col(f"c{k}"), r).alias(f"n{k}_{r}") for k in ks for r in (1, 2, 3, 4)))
-    cut = counted.select("name", *(d.alias(f"d{k}_{r}") for k in ks for r, d in enumerate(discounts([F.col(f"n{k}_{r}") for r in (1, 2, 3, 4)]), 1)))
-    # In how many contexts a word stands, and how many contexts there are.
-    after = pairs.groupBy("name", "b").agg(*(F.sum((F.col(f"c{k}") > 0).cast("long")).alias(f"c{k}") for k in ks))
-    low = after.groupBy("name").agg(*(_times(F.col(f"c{k}"), r).alias(f"n{k}_{r}") for k in ks for r in (1, 2, 3, 4)), *(F.sum(f"c{k}").alias(f"t{k}") for k in ks), *(F.sum((F.col(f"c{k}") > 0).cast("long")).alias(f"s{k}") for k in ks))
-    d = {k: discounts([F.col(f"n{k}_{r}") for r in (1, 2, 3, 4)]) for k in ks}
-    many = lambda k: F.col(f"s{k}") - F.col(f"n{k}_1") - F.col(f"n{k}_2")
-    rest = lambda k: F.coalesce(F.try_divide(d[k][0] * F.col(f"n{k}_1") + d[k][1] * F.col(f"n{k}_2") + d[k][2] * many(k), F.col(f"t{k}")), F.lit(1.0)) / (F.col(f"s{k}") + 1)
-    low = low.select("name", *(f"t{k}" for k in ks), *(x.alias(f"d{k}_{r}") for k in ks for r, x in enumerate(d[k], 1)), *(rest(k).alias(f"u{k}") for k in ks))
-    languages = materialize(low.join(cut.select("name", *(F.col(f"d{k}_{r}").alias(f"e{k}_{r}") for k in ks for r in (1, 2, 3))).transform(same), F.col("name").eqNullSafe(F.col("of"))).drop("of"), "quality-languages")
-
-    told = same(languages)
-    few = lambda x: F.broadcast(x) if languages.limit(100_001).count() <= 100_000 else x
-    dk = {(c, k): [F.col(f"{c}{k}_{r}") for r in (1, 2, 3)] for c in "de" for k in ks}
-    p = lambda k: F.coalesce(F.try_divide(F.col(f"c{k}") - _cut(F.col(f"c{k}"), dk["d", k]), F.col(f"t{k}")), F.lit(0.0)) + F.col(f"u{k}")
-    ends = after.join(few(told), F.col("name").eqNullSafe(F.col("of"))).select("b", *(p(k).alias(f"p{k}") for k in ks), *(f"u{k}" for k in ks))
-    ends = materialize(ends, "quality-ends")
-    starts = pairs.join(few(told), F.col("name").eqNullSafe(F.col("of"))).groupBy("a").agg(*(F.sum(_cut(F.col(f"c{k}"), dk["e", k])).alias(f"g{k}") for k in ks), *(F.sum(f"c{k}").alias(f"m{k}") for k in ks))
-    starts = materialize(starts, "quality-starts")
-    bow = lambda k: F.when(F.col(f"m{k}") > 0, F.log(F.col(f"g{k}") / F.col(f"m{k}"))).otherwise(0.0)
-    words = ends.join(starts, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("key"), *((F.coalesce(F.log(F.col(f"p{k}") / F.col(f"u{k}")), F.lit(0.0)) + bow(k)).cast("float").alias(f"v{k}") for k in ks))
-    both = pairs.join(starts, "a").join(ends, "b").join(few(told.select("of", *(f"e{k}_{r}" for k in ks for r in (1, 2, 3)))), F.col("name").eqNullSafe(F.col("of")))
-    lift = lambda k: F.when(F.col(f"c{k}") > 0, F.log1p((F.col(f"c{k}") - _cut(F.col(f"c{k}"), dk["e", k])) / (F.col(f"g{k}") * F.col(f"p{k}")))).otherwise(0.0)
-    table = words.union(both.select(F.xxhash64("a", "b").alias("key"), *(lift(k).cast("float").alias(f"v{k}") for k in ks)))
-    return table, languages.select("name", *(F.log(f"u{k}").alias(f"unk{k}") for k in ks))
-
-
-def perplexity(rows: DataFrame, table: DataFrame, languages: DataFrame) -> DataFrame:
-    """(row, perplexity) of rows (row, name, fold, text) without empty texts: their words and word pairs joined to the score table."""
-    keys = rows.select("row", "name", "fold", word_keys(F.col("name"), F.col("text")).alias("w"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.xxhash64(F.get("w", i - 1), F.get("w", i)))
-    each = keys.select("row", "fold", F.explode(F.concat("w", pairs)).alias("key"))
-    pick = lambda c: F.element_at(F.array(*(F.col(f"{c}{k}") for k in range(FOLDS + 1))), F.col("fold") + 1).cast("double")
-    found = each.join(table, "key").groupBy("row").agg(F.sum(pick("v")).alias("v"))
-    # The text end counts as a word.
-    size = keys.select("row", "name", "fold", (F.size("w") - 1).alias("n"))
-    few = F.broadcast(languages) if languages.limit(100_001).count() <= 100_000 else languages
-    size = size.join(few.withColumnRenamed("name", "of"), F.col("name").eqNullSafe(F.col("of")), "left").select("row", "n", F.coalesce(pick("unk"), F.lit(0.0)).alias("unk"))
-    return size.join(found, "row", "left").select("row", F.exp(-(F.coalesce("v", F.lit(0.0)) / F.col("n") + F.col("unk"))).alias("perplexity"))
+    grouped = lambda df: df.repartition(shards, "shard").groupBy("shard")
+    pairs = materialize(grouped(_count(trusted, shards)).applyInPandas(_merge_pairs(shards), MESSAGE), "quality-pairs")
+    words = materialize(grouped(pairs.filter("kind = 1")).applyInPandas(_merge_words, MESSAGE), "quality-words")
+    total = lambda df, kind, n: df.filter(f"kind = {kind}").groupBy("name").agg(*(F.sum(F.get("values", F.lit(i))).alias(f"x{i}") for i in range(n)))
+    x = lambda i: F.col(f"x{i}")
+    at = lambda k: [x(4 * k + r) for r in range(4)]
+    e = total(pairs, 2, 20).select(F.col("name").alias("of"), F.array(*(d for k in ks for d in discounts(at(k)))).alias("e"))
+    low = total(words, 3, 30)
+    d = {k: discounts(at(k)) for k in ks}
+    t, seen = [x(20 + k) for k in ks], [x(25 + k) for k in ks]
+    # The mass that discounts leave, over all words and an unknown one.
+    rest = [F.coalesce(F.try_divide(d[k][0] * at(k)[0] + d[k][1] * at(k)[1] + d[k][2] * (seen[k] - at(k)[0] - at(k)[1]), t[k]), F.lit(1.0)) / (seen[k] + 1) for k in ks]
+    low = low.select("name", F.array(*(c for k in ks for c in d[k]), *t, *rest).alias("values"), *(F.log(rest[k]).alias(f"unk{k}") for k in ks))
+    languages = materialize(low.join(e, F.col("name").eqNullSafe(F.col("of"))).select("name", F.concat("e", "values").alias("values"), *(f"unk{k}" for k in ks)), "quality-languages")
+    return pairs.filter("kind in (0, 2)").union(words.filter("kind in (3, 4, 5)")), languages
+
+
+def _requests(rows: DataFrame, shards: int, salts: int) -> DataFrame:
+    """All columns of rows but the text with ``_n``, the number of words and the text end; beside them, as rows of their own, (``_shard``, ``_salt``, ``_blob``): the words and pairs that a block asks a shard for."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    small_batches(rows.sparkSession)
+    source = rows.withColumn("_row", F.monotonically_increasing_id())
+    kept = StructType([f for f in source.schema.fields if f.name != "text"])
+    for f in kept.fields:
+        f.nullable = True
+    schema = StructType(kept.fields + StructType.fromDDL("_n long, _shard long, _salt int, _blob binary").fields)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for own, keys, _, _, words, size in _blocks(batches):
+            at = _pairs(words, size)
+            pair, place = np.unique(words[at] * len(keys) + words[at + 1], return_inverse=True)
+            every = np.concatenate([keys, _mix(keys[pair // len(keys)], keys[pair % len(keys)])])
+            to = _shard(every, shards)
+            text = np.repeat(np.arange(len(size)), size)
+            asked, doc = np.concatenate([words, len(keys) + place]), np.concatenate([text, text[at]])
+            ids, folds = (np.array([r[c] for r in own], np.int64) for c in ("_row", "fold"))
+            out = [r | {"_n": int(n) - 1} for r, n in zip(own, size)]
+            salt = int(_mix(ids[:1].astype(np.uint64), np.uint64(0))[0]) % salts
+            for s in np.unique(to):
+                here = np.flatnonzero(to == s)
+                here = here[np.argsort(every[here])]
+                rank = np.full(len(every), -1, np.int64)
+                rank[here] = np.arange(len(here))
+                k = rank[asked]
+                use = k >= 0
+                what, times = np.unique(doc[use] * len(here) + k[use], return_counts=True)
+                who, k = what // len(here), what % len(here)
+                # Within a text steps, at its start the whole number.
+                step = np.where(np.diff(who, prepend=-1) == 0, _steps(k), k)
+                per = np.bincount(who, minlength=len(size))
+                out.append({"_shard": int(s), "_salt": salt, "_blob": _pack(_steps(ids), folds.astype(np.uint8), per.astype(np.uint32), _steps(every[here]), step.astype(np.uint32), times.astype(np.uint32))})
+            yield pa.RecordBatch.from_pylist(out, arrow)
+        release()
+
+    return source.mapInArrow(run, schema)
+
+
+def _values(rows) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and scores (fold, key) of a shard's words and pairs.
+
+    With interpolation p(b | a) = bow(a) p(b) (1 + (c(ab) - D) / (g(a) p(b))),
+    where g(a) is the count mass that discounts take from a: a word scores
+    log p + log bow - unk, a pair the logarithm of the last factor.
+    """
+    told = {n if isinstance(n, str) else None: np.array(v) for n, v in zip(*(rows.loc[rows["kind"] == 6, c] for c in ("name", "values")))}
+    blobs = lambda kind: rows.loc[rows["kind"] == kind, "blob"]
+    none = np.zeros(40)  # of a language that the block held and the shard doesn't
+    out = [(np.zeros(0, np.uint64), np.zeros((FOLDS + 1, 0), np.float32))]
+
+    def cut(c, d):
+        return np.where(c >= 3, d[2], np.where(c == 2, d[1], np.where(c == 1, d[0], 0)))
+
+    def word_scores(sums, number, names, k):
+        """(p, g, m, u) of words without fold k, and the discounts of their pairs."""
+        v = np.stack([told.get(n, none) for n in names]).T
+        e, d, t, u = v[3 * k : 3 * k + 3], v[15 + 3 * k : 18 + 3 * k], v[30 + k], v[35 + k]
+        after, m, *times = (sums[i * (FOLDS + 1) + k] for i in range(5))
+        total = t[number]
+        p = np.where(total > 0, (after - cut(after, d[:, number])) / np.where(total > 0, total, 1), 0) + u[number]
+        return p, sum(x * y for x, y in zip(e[:, number], times)), m, u[number], e
+
+    for blob in blobs(4):
+        keys, number, names, *sums = _unpack(blob)
+        names, number, sums = json.loads(names.tobytes()), number.astype(np.int64), np.stack(sums).astype(np.float64)
+        v = np.zeros((FOLDS + 1, len(keys)), np.float32)
+        for k in range(FOLDS + 1):
+            p, g, m, u, _ = word_scores(sums, number, names, k)
+            v[k] = np.log(p / u) + np.where(m > 0, np.log(np.where(m > 0, g, 1) / np.where(m > 0, m, 1)), 0)
+        out.append((np.cumsum(keys), v))
+    replies = {int(v[0]): b for v, b in zip(rows.loc[rows["kind"] == 5, "values"], blobs(5))}
+    for blob in blobs(0):
+        keys, number, names, a, b, counts = _read_pairs(blob)
+        to = _shard(keys, int(rows["shards"].iloc[0]))
+        sums = np.zeros((5 * (FOLDS + 1), len(keys)))
+        for s, reply in replies.items():
+            sums[:, to == s] = np.stack(_unpack(reply))
+        c = _without(counts)
+        v = np.zeros((FOLDS + 1, len(a)), np.float32)
+        for k in range(FOLDS + 1):
+            p, g, _, _, e = word_scores(sums, number, names, k)
+            on = np.flatnonzero(c[k] > 0)
+            x, n = c[k][on], number[a[on]]
+            v[k, on] = np.log1p((x - cut(x, e[:, n])) / (g[a[on]] * p[b[on]]))
+        out.append((_mix(keys[a], keys[b]), v))
+    keys, v = np.concatenate([k for k, _ in out]), np.concatenate([x for _, x in out], axis=1)
+    order = np.argsort(keys)
+    return keys[order], v[:, order]
+
+
+def _answer(key, rows):
+    """Sums of the scores of what each text asks of a shard."""
+    import pandas as pd
+
+    keys, v = _values(rows)
+    keys, v = np.append(keys, np.uint64(2**64 - 1)), np.append(v, np.zeros((FOLDS + 1, 1), np.float32), axis=1)
+    ids, sums = [], []
+    for blob in rows.loc[rows["kind"] == 7, "blob"]:
+        row, fold, per, asked, step, times = _unpack(blob)
+        asked, per = np.cumsum(asked), per.astype(np.int64)
+        at = np.searchsorted(keys[:-1], asked)
+        at = np.where(keys[at] == asked, at, len(keys) - 1)
+        doc = np.repeat(np.arange(len(row)), per)
+        k = np.cumsum(step.astype(np.int64))
+        first = np.cumsum(per) - per
+        k -= np.repeat((k - step)[first[per > 0]], per[per > 0])
+        score = v[np.repeat(fold, per), at[k]].astype(np.float64) * times
+        some = per > 0
+        ids.append(np.cumsum(row)[some])
+        sums.append(np.bincount(doc, score, len(row))[some])
+    none = [np.zeros(0)]
+    return pd.DataFrame({"_id": np.concatenate(ids or none).astype(np.int64), "v": np.concatenate(sums or none)})
+
+
+def score(rows: DataFrame, table: DataFrame, languages: DataFrame, shards: int = 4, salts: int = 1) -> DataFrame:
+    """Rows (name, fold, text, ...) with ``perplexity`` for the text: their words and word pairs joined to the count table, shard by shard.
+
+    ``salts``: into how many tasks the questions to a shard are divided. Texts may not be empty or null.
+    """
+    spark = rows.sparkSession
+    path = fresh_path(spark, "quality-requests")
+    questions = _requests(rows, shards, salts)
+    questions.write.parquet(path)
+    asked = spark.read.schema(questions.schema).parquet(path)
+    few = F.broadcast(languages) if languages.limit(10_001).count() <= 10_000 else languages
+    own = few.select(F.col("name").alias("of"), F.col("values").alias("told"))
+    told = table.filter("kind in (2, 3)").select("shard", "name").distinct().join(own, F.col("name").eqNullSafe(F.col("of"))).select("shard", F.lit(6).alias("kind"), "name", F.col("told").alias("values"), F.lit(None).cast("binary").alias("blob"))
+    model = table.filter("kind in (0, 4, 5)").union(told).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    ask = asked.filter("_shard is not null").select(F.col("_shard").alias("shard"), F.lit(7).alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("array<double>").alias("values"), F.col("_blob").alias("blob"), F.col("_salt").alias("salt"))
+    answers = model.union(ask).withColumn("shards", F.lit(shards)).repartition(shards * salts, "shard", "salt").groupBy("shard", "salt").applyInPandas(_answer, "_id long, v double")
+    answers = answers.groupBy("_id").agg(F.sum("v").alias("v"))
+    docs = asked.filter("_shard is null").join(few.withColumnRenamed("name", "of").drop("values"), F.col("name").eqNullSafe(F.col("of")), "left")
+    unk = F.coalesce(F.element_at(F.array(*(f"unk{k}" for k in range(FOLDS + 1))), F.col("fold") + 1), F.lit(0.0))
+    docs = docs.join(answers, F.col("_row") == F.col("_id"), "left")
+    out = materialize(docs.select(*(c for c in rows.columns if c != "text"), F.exp(-(F.coalesce("v", F.lit(0.0)) / F.col("_n") + unk)).alias("perplexity")), "quality-scores")
+    remove_path(spark, path)
+    return out
+
+
+@contextmanager
+def _shuffles_removed(spark):
+    """Shuffle files go when their query ends: everything here is written out before it is read again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.98, doc_id: str = "doc_id", lang: str = "lang", text: str = "text") -> DataFrame:
@@ -175,18 +523,25 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.98, do
     ids = materialize(trusted_ids.select(F.col(doc_id).alias("t")).filter(F.col("t").isNotNull()).distinct(), "quality-trusted")
     ids = F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
     fold = F.when(F.col("t").isNotNull(), F.pmod(F.xxhash64("text"), F.lit(FOLDS)) + 1).otherwise(0).cast("int")
-    told = docs.select(F.col(doc_id).alias("d"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).join(ids, F.col("d") == F.col("t"), "left")
-    rows = materialize(told.select("d", "lang", "text", fold.alias("fold")).withColumn("row", F.monotonically_increasing_id()), "quality-rows")
-    full = rows.filter(F.length("text") > 0)
-    known = full.filter("fold > 0")
-    own = materialize(known.select(F.col("lang").alias("own")).filter("own is not null").distinct(), "quality-own")
-    own = F.broadcast(own) if own.limit(100_001).count() <= 100_000 else own
-    named = full.join(own, F.col("lang") == F.col("own"), "left").withColumnRenamed("own", "name")
-    learn = named.filter("fold > 0 and name is not null").select("name", "fold", "text")
-    if named.filter("name is null").limit(1).count():
-        learn = learn.union(known.select(F.lit(None).cast("string"), "fold", "text"))
-    scored = perplexity(named.select("row", "name", "fold", "text"), *train(learn))
-    scored = materialize(rows.select("row", "d", "lang", "fold").join(scored, "row", "left"), "quality-scores")
+    told = docs.select(F.col(doc_id).alias("d"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).join(ids, F.col("d") == F.col("t"), "left").select("d", "lang", "text", fold.alias("fold"))
+    size = F.coalesce(F.length("text"), F.lit(0)).cast("long")
+    full = told.filter(size > 0)
+    with _shuffles_removed(docs.sparkSession):
+        found = materialize(full.groupBy("lang").agg(F.sum(size).alias("n"), F.sum(F.when(F.col("fold") > 0, size)).alias("known")), "quality-found")
+        n, known, strangers = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.bool_or(F.expr("known is null or lang is null")), F.lit(False))).first()
+        own = found.filter("known is not null and lang is not null").select(F.col("lang").alias("own"))
+        own = F.broadcast(own) if own.limit(100_001).count() <= 100_000 else own
+        named = full.join(own, F.col("lang") == F.col("own"), "left").withColumnRenamed("own", "name")
+        learn = named.filter("fold > 0 and name is not null").select("name", "fold", "text")
+        if strangers:
+            learn = learn.union(full.filter("fold > 0").select(F.lit(None).cast("string"), "fold", "text"))
+        shards = max(4, -(-known * (1 + strangers) // SHARD_CHARS))
+        salts = max(1, -(-n // (ROUNDS * shards * SHARD_CHARS)))
+        table, languages = train(learn, shards)
+        scored = materialize(told.filter(size == 0).select("d", "lang", "fold", F.lit(None).cast("double").alias("perplexity")), "quality-scores")
+        for turn in range(ROUNDS):
+            part = named.filter(F.pmod(F.xxhash64("d", "text"), F.lit(ROUNDS)) == turn)
+            scored = scored.union(score(part, table, languages, shards, salts).select("d", "lang", "fold", "perplexity"))
     known = scored.filter("fold > 0 and perplexity is not null")
     cut = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"))
     every = known.agg(F.percentile_approx("perplexity", quantile, 10000)).first()[0]

@@ -456,16 +456,32 @@ def naive_pair_model(texts):
     return ppl
 
 
-def test_word_pair_scores_match_plain_kneser_ney(spark):
+def test_word_pair_scores_match_plain_kneser_ney(spark, monkeypatch):
     r = np.random.default_rng(8)
     made = [(n, int(r.integers(1, 3)), text(r, int(r.integers(1, 40)))) for n in ("en", "de") for _ in range(25)]
     rows = [(k, n, f, t) for k, (n, f, t) in enumerate((n, f, t) for n in ("en", "de") for f in (0, 1, 2, 3) for t in ("alpha beta gamma", "gamma beta alpha", "alpha strange word", "unheard", made[0][2]))]
-    table, languages = quality.train(spark.createDataFrame(made, "name string, fold int, text string"))
-    got = dict(quality.perplexity(spark.createDataFrame(rows, "row long, name string, fold int, text string"), table, languages).collect())
-    for k, n, f, t in rows:
-        assert got[k] == pytest.approx(naive_pair_model([x for m, g, x in made if m == n and g != (f or None)])(t), rel=1e-4)
+    for shards, salts, block in ((4, 1, 2_000_000), (3, 2, 30)):
+        monkeypatch.setattr(quality, "BLOCK_WORDS", block)
+        table, languages = quality.train(spark.createDataFrame(made, "name string, fold int, text string"), shards)
+        out = quality.score(spark.createDataFrame(rows, "row long, name string, fold int, text string"), table, languages, shards, salts)
+        got = {x.row: x.perplexity for x in out.collect()}
+        assert len(got) == len(rows) == out.count()
+        for k, n, f, t in rows:
+            assert got[k] == pytest.approx(naive_pair_model([x for m, g, x in made if m == n and g != (f or None)])(t), rel=1e-4)
+    # The counts grow with the texts: three pairs each.
+    once = lambda df: quality.train(df)[0].filter("kind = 2").agg(F.sum(F.get("values", F.lit(0)))).first()[0]
     more = spark.createDataFrame([("en", 1, f"word{k} other{k}") for k in range(500)], "name string, fold int, text string")
-    assert quality.train(more)[0].count() >= 2 * quality.train(more.limit(250))[0].count() - 3
+    assert once(more) == 2 * once(more.limit(250)) == 1500
+
+
+def test_long_texts_and_other_characters_give_the_same_words():
+    ids = quality._dictionary()
+    for t in ("Ab c-9 é собака 日本 x\u0301y", "plain words, 12 and more", "\x1c\x85 \u3000z"):
+        far = quality._words(t + " " * 1_000_000, ids)
+        assert quality._words(t, ids).tolist() == far.tolist()
+    assert [w for w in ids if w not in ("", "  ")] == ["ab", "c", "-", "9", "é", "собака", "日", "本", "x\u0301y", "plain", "words", ",", "12", "and", "more", "\x1c", "z"]
+    x = [np.array([5, 2**63], np.uint64), np.zeros(0, np.uint32), np.array([-1, 7])]
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(x, quality._unpack(quality._pack(*x)), strict=True))
 
 
 def test_quality_sees_words_in_any_script_and_language(spark):
