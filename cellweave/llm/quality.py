@@ -34,7 +34,9 @@ _FULL, _PLAIN = regex.compile(WORD), re.compile(r"[a-z0-9]+|[^a-z0-9\t-\r\x20]")
 #: Parts of the trusted texts that are left out in turn.
 FOLDS = 4
 #: Words of a block of texts, and trusted characters (and characters asked for at once) of a shard: what a task holds.
-BLOCK_WORDS, SHARD_CHARS = 2_000_000, 16_000_000
+BLOCK_WORDS, SHARD_CHARS = 2_000_000, 8_000_000
+#: Stands for trusted texts without a language.
+NAMELESS = "\0"
 #: Turns in which documents are scored, so that only a part of their words lies on disk at a time.
 ROUNDS = 6
 #: Between tasks: 0 pairs of a shard, 1 words of a pair shard, 2 and 3 sums of pairs and words by name, 4 words of a shard, 5 sums sent back, 6 languages, 7 questions.
@@ -156,7 +158,7 @@ def _steps(x: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batches):
-    """Blocks of about BLOCK_WORDS words: (rows without their texts, word keys, name number of each key, names, word numbers of all texts, words of each text)."""
+    """Blocks of about BLOCK_WORDS words: (rows without their texts, word hashes, name number of each, names, word numbers of all texts, words of each text)."""
     import xxhash
 
     dictionaries, kept, texts, n = {}, [], [], 0
@@ -164,8 +166,7 @@ def _blocks(batches):
     def block():
         keys, number, shift, at = [], [], {}, 0
         for k, (name, ids) in enumerate(dictionaries.items()):
-            seed = xxhash.xxh3_64_intdigest(json.dumps(name))
-            keys.append(np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"), seed) for w in ids), np.uint64, len(ids)))
+            keys.append(np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in ids), np.uint64, len(ids)))
             number.append(np.full(len(ids), k, np.int64))
             shift[name] = at
             at += len(ids)
@@ -193,12 +194,19 @@ def _pairs(words: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.flatnonzero(~last)
 
 
-def _vocabulary(keys: np.ndarray, number: np.ndarray, names: list, used: np.ndarray):
-    """Used keys in ascending order, their name numbers, and the place of each old number."""
-    order = used[np.argsort(keys[used])]
-    place = np.zeros(len(keys), np.int64)
-    place[order] = np.arange(len(order))
-    return keys[order], number[order], place
+def _own(words: np.ndarray, number: np.ndarray, names: list) -> np.ndarray:
+    """Keys of words in their languages. Shards go by the bare hash, so that all languages' counts of a word or pair meet."""
+    import xxhash
+
+    seeds = np.array([xxhash.xxh3_64_intdigest(json.dumps(n)) for n in names], np.uint64)
+    return _mix(words, seeds[number])
+
+
+def _split(to: np.ndarray):
+    """(shard, positions) of each shard that occurs; positions keep their order."""
+    order = np.argsort(to, kind="stable")
+    some, first = np.unique(to[order], return_index=True)
+    return zip(some, np.split(order, first[1:]))
 
 
 def _message(shard, kind, name=None, values=None, blob=None):
@@ -210,13 +218,28 @@ def _names(names: list) -> np.ndarray:
 
 
 def _join_words(parts):
-    """Union of (keys, name numbers, names) vocabularies: keys, name numbers, names, and each part's places in it."""
+    """Union of (words, name numbers, names) vocabularies in the words' order: words, name numbers, names, and each part's places in it."""
     names = list(dict.fromkeys(n for _, _, own in parts for n in own))
     at = {n: k for k, n in enumerate(names)}
     every = np.concatenate([k for k, _, _ in parts])
     number = np.concatenate([np.array([at[n] for n in own], np.int64)[num] if len(num) else num for _, num, own in parts])
-    keys, first, place = np.unique(every, return_index=True, return_inverse=True)
-    return keys, number[first], names, np.split(place, np.cumsum([len(k) for k, _, _ in parts])[:-1])
+    _, first, place = np.unique(_own(every, number, names), return_index=True, return_inverse=True)
+    words, number = every[first], number[first]
+    order = np.lexsort((number, words))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return words[order], number[order], names, np.split(rank[place], np.cumsum([len(k) for k, _, _ in parts])[:-1])
+
+
+def _pooled(words, number, names, a, b, counts):
+    """The same pairs, and after them those of all languages together, under the name None."""
+    alone, place = np.unique(words, return_inverse=True)
+    x, y, n = place[a], place[b], len(alone)
+    pair, at = np.unique(x * n + y, return_inverse=True)
+    both = np.stack([np.bincount(at, c, len(pair)) for c in counts]).astype(np.int64)
+    words, number = np.concatenate([words, alone]), np.concatenate([number, np.full(n, len(names))])
+    shift = len(place)
+    return words, number, [*names, None], np.concatenate([a, pair // n + shift]), np.concatenate([b, pair % n + shift]), np.concatenate([counts, both], axis=1)
 
 
 def _without(c: np.ndarray) -> np.ndarray:
@@ -246,14 +269,18 @@ def _count(trusted: DataFrame, shards: int) -> DataFrame:
             pair, place = np.unique(words[at] * len(keys) + words[at + 1], return_inverse=True)
             counts = np.stack([np.bincount(place[fold == f], minlength=len(pair)) for f in range(1, FOLDS + 1)]).astype(np.uint32)
             a, b = pair // len(keys), pair % len(keys)
-            to = _shard(_mix(keys[a], keys[b]), shards)
+            order = np.lexsort((number, keys))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            to, a, b = _shard(_mix(keys[a], keys[b]), shards), rank[a], rank[b]
+            by = np.lexsort((b, a))
             out = []
-            for s in np.unique(to):
-                m = to == s
-                k, num, where = _vocabulary(keys, number, names, np.unique(np.concatenate([a[m], b[m]])))
-                x, y, c = where[a[m]], where[b[m]], counts[:, m]
-                order = np.lexsort((y, x))
-                out.append(_message(s, 0, blob=_pack(_steps(k), num.astype(np.uint32), _names(names), _steps(x[order]).astype(np.uint32), y[order].astype(np.uint32), *c[:, order])))
+            for s, at in _split(to[by]):
+                m = by[at]
+                used, place = np.unique(np.concatenate([a[m], b[m]]), return_inverse=True)
+                x, y = place[: len(m)], place[len(m) :]
+                used = order[used]
+                out.append(_message(s, 0, blob=_pack(_steps(keys[used]), number[used].astype(np.uint32), _names(names), _steps(x).astype(np.uint32), y.astype(np.uint32), *counts[:, m])))
             yield pa.RecordBatch.from_pylist(out, _arrow())
         release()
 
@@ -272,7 +299,7 @@ def _read_pairs(blob: bytes):
     return np.cumsum(k), num.astype(np.int64), json.loads(names.tobytes()), np.cumsum(a.astype(np.int64)), b.astype(np.int64), np.stack(c).astype(np.int64)
 
 
-def _merge_pairs(shards: int):
+def _merge_pairs(shards: int, pool: bool):
     """Of a shard's pairs: their counts (kind 0), counts of counts by name (2), and words' sums for the words' shards (1)."""
 
     def run(key, rows):
@@ -287,15 +314,15 @@ def _merge_pairs(shards: int):
         pair, at = np.unique(pair, return_inverse=True)
         counts = np.stack([np.bincount(at, x, len(pair)) for x in counts]).astype(np.int64)
         a, b = pair // len(keys), pair % len(keys)
-        c = _without(counts)
         out = [_message(s, 0, blob=_pack(_steps(keys), number.astype(np.uint32), _names(names), _steps(a).astype(np.uint32), b.astype(np.uint32), *counts.astype(np.uint32)))]
+        if pool:
+            keys, number, names, a, b, counts = _pooled(keys, number, names, a, b, counts)
+        c = _without(counts)
         out += _stats(s, 2, number[a], names, lambda m: _times(c[:, m]))
         sums = [np.bincount(b, x > 0, len(keys)) for x in c] + [np.bincount(a, x, len(keys)) for x in c]
         sums += [np.bincount(a, t, len(keys)) for test in (lambda x: x == 1, lambda x: x == 2, lambda x: x >= 3) for t in map(test, c)]
         sums = np.stack(sums).astype(np.int64)
-        to = _shard(keys, shards)
-        for t in np.unique(to):
-            m = to == t
+        for t, m in _split(_shard(keys, shards)):
             out.append(_message(t, 1, values=[float(s)], blob=_pack(_steps(keys[m]), number[m].astype(np.uint32), _names(names), *_small(sums[:, m]))))
         return pd.DataFrame(out, columns=_arrow().names)
 
@@ -323,18 +350,19 @@ def _merge_words(key, rows):
     return pd.DataFrame(out, columns=_arrow().names)
 
 
-def train(trusted: DataFrame, shards: int = 4) -> tuple[DataFrame, DataFrame]:
+def train(trusted: DataFrame, shards: int = 4, pool: bool = False) -> tuple[DataFrame, DataFrame]:
     """Count table, as packed messages (shard, kind, name, values, blob), and languages (name, unk0, ..., values) of trusted (name, fold, text).
 
     Pairs are counted inside blocks of texts, then in the shard of the pair's
     hash, so a frequent word is spread over all shards; what a pair needs of
     its words (in how many contexts they stand, what discounts take from
     them) is summed in the shards of the words and sent back. Counts are kept
-    by fold, so every fold can be left out.
+    by fold, so every fold can be left out. With ``pool`` the name None, which
+    no text may have then, stands for all languages' counts together.
     """
     ks = range(FOLDS + 1)
     grouped = lambda df: df.repartition(shards, "shard").groupBy("shard")
-    pairs = materialize(grouped(_count(trusted, shards)).applyInPandas(_merge_pairs(shards), MESSAGE), "quality-pairs")
+    pairs = materialize(grouped(_count(trusted, shards)).applyInPandas(_merge_pairs(shards, pool), MESSAGE), "quality-pairs")
     words = materialize(grouped(pairs.filter("kind = 1")).applyInPandas(_merge_words, MESSAGE), "quality-words")
     total = lambda df, kind, n: df.filter(f"kind = {kind}").groupBy("name").agg(*(F.sum(F.get("values", F.lit(i))).alias(f"x{i}") for i in range(n)))
     x = lambda i: F.col(f"x{i}")
@@ -366,37 +394,42 @@ def _requests(rows: DataFrame, shards: int, salts: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for own, keys, _, _, words, size in _blocks(batches):
+        for own, keys, number, names, words, size in _blocks(batches):
             at = _pairs(words, size)
             pair, place = np.unique(words[at] * len(keys) + words[at + 1], return_inverse=True)
-            every = np.concatenate([keys, _mix(keys[pair // len(keys)], keys[pair % len(keys)])])
-            to = _shard(every, shards)
+            a, b, own_keys = pair // len(keys), pair % len(keys), _own(keys, number, names)
+            every = np.concatenate([own_keys, _mix(own_keys[a], own_keys[b])])
+            to = _shard(np.concatenate([keys, _mix(keys[a], keys[b])]), shards)
+            order = np.lexsort((every, to))
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
             text = np.repeat(np.arange(len(size)), size)
-            asked, doc = np.concatenate([words, len(keys) + place]), np.concatenate([text, text[at]])
+            asked = rank[np.concatenate([words, len(keys) + place])]
+            doc = np.concatenate([text, text[at]])
+            every, to = every[order], to[order]
+            # By shard, text and key, with the times that a text asks.
+            what, times = np.unique((to[asked] * len(size) + doc) * len(every) + asked, return_counts=True)
+            k = what % len(every)
+            who = what // len(every) % len(size)
+            some, first = np.unique(to, return_index=True)
+            lines = np.searchsorted(to[k], some)
             ids, folds = (np.array([r[c] for r in own], np.int64) for c in ("_row", "fold"))
             out = [r | {"_n": int(n) - 1} for r, n in zip(own, size)]
             salt = int(_mix(ids[:1].astype(np.uint64), np.uint64(0))[0]) % salts
-            for s in np.unique(to):
-                here = np.flatnonzero(to == s)
-                here = here[np.argsort(every[here])]
-                rank = np.full(len(every), -1, np.int64)
-                rank[here] = np.arange(len(here))
-                k = rank[asked]
-                use = k >= 0
-                what, times = np.unique(doc[use] * len(here) + k[use], return_counts=True)
-                who, k = what // len(here), what % len(here)
+            for s, key, line in zip(some, np.split(np.arange(len(every)), first[1:]), np.split(np.arange(len(k)), lines[1:])):
+                near, local = who[line], k[line] - key[0]
                 # Within a text steps, at its start the whole number.
-                step = np.where(np.diff(who, prepend=-1) == 0, _steps(k), k)
-                per = np.bincount(who, minlength=len(size))
-                out.append({"_shard": int(s), "_salt": salt, "_blob": _pack(_steps(ids), folds.astype(np.uint8), per.astype(np.uint32), _steps(every[here]), step.astype(np.uint32), times.astype(np.uint32))})
+                step = np.where(np.diff(near, prepend=-1) == 0, _steps(local), local)
+                per = np.bincount(near, minlength=len(size))
+                out.append({"_shard": int(s), "_salt": salt, "_blob": _pack(_steps(ids), folds.astype(np.uint8), per.astype(np.uint32), _steps(every[key]), step.astype(np.uint32), times[line].astype(np.uint32))})
             yield pa.RecordBatch.from_pylist(out, arrow)
         release()
 
     return source.mapInArrow(run, schema)
 
 
-def _values(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and scores (fold, key) of a shard's words and pairs.
+def _values(rows, asked: np.ndarray) -> np.ndarray:
+    """Scores (fold, key) of a shard's words and pairs among the sorted keys ``asked``, 0 where the model has none.
 
     With interpolation p(b | a) = bow(a) p(b) (1 + (c(ab) - D) / (g(a) p(b))),
     where g(a) is the count mass that discounts take from a: a word scores
@@ -405,60 +438,66 @@ def _values(rows) -> tuple[np.ndarray, np.ndarray]:
     told = {n if isinstance(n, str) else None: np.array(v) for n, v in zip(*(rows.loc[rows["kind"] == 6, c] for c in ("name", "values")))}
     blobs = lambda kind: rows.loc[rows["kind"] == kind, "blob"]
     none = np.zeros(40)  # of a language that the block held and the shard doesn't
-    out = [(np.zeros(0, np.uint64), np.zeros((FOLDS + 1, 0), np.float32))]
+    out = np.zeros((FOLDS + 1, len(asked)), np.float32)
+    shards, pool = int(rows["shards"].iloc[0]), bool(rows["pool"].iloc[0])
+
+    def wanted(keys):
+        at = np.minimum(np.searchsorted(asked, keys), len(asked) - 1)
+        use = np.flatnonzero(asked[at] == keys)
+        return use, at[use]
 
     def cut(c, d):
         return np.where(c >= 3, d[2], np.where(c == 2, d[1], np.where(c == 1, d[0], 0)))
 
     def word_scores(sums, number, names, k):
-        """(p, g, m, u) of words without fold k, and the discounts of their pairs."""
+        """(p, g, m, u) of words without fold k, and the discounts of their languages' pairs."""
         v = np.stack([told.get(n, none) for n in names]).T
         e, d, t, u = v[3 * k : 3 * k + 3], v[15 + 3 * k : 18 + 3 * k], v[30 + k], v[35 + k]
-        after, m, *times = (sums[i * (FOLDS + 1) + k] for i in range(5))
+        after, m, *times = (sums[i * (FOLDS + 1) + k].astype(np.float64) for i in range(5))
         total = t[number]
         p = np.where(total > 0, (after - cut(after, d[:, number])) / np.where(total > 0, total, 1), 0) + u[number]
         return p, sum(x * y for x, y in zip(e[:, number], times)), m, u[number], e
 
+    if not len(asked):
+        return out
     for blob in blobs(4):
-        keys, number, names, *sums = _unpack(blob)
-        names, number, sums = json.loads(names.tobytes()), number.astype(np.int64), np.stack(sums).astype(np.float64)
-        v = np.zeros((FOLDS + 1, len(keys)), np.float32)
+        words, number, names, *sums = _unpack(blob)
+        names, number = json.loads(names.tobytes()), number.astype(np.int64)
+        use, at = wanted(_own(np.cumsum(words), number, names))
+        number, sums = number[use], np.stack(sums)[:, use]
         for k in range(FOLDS + 1):
             p, g, m, u, _ = word_scores(sums, number, names, k)
-            v[k] = np.log(p / u) + np.where(m > 0, np.log(np.where(m > 0, g, 1) / np.where(m > 0, m, 1)), 0)
-        out.append((np.cumsum(keys), v))
+            out[k, at] = np.log(p / u) + np.where(m > 0, np.log(np.where(m > 0, g, 1) / np.where(m > 0, m, 1)), 0)
     replies = {int(v[0]): b for v, b in zip(rows.loc[rows["kind"] == 5, "values"], blobs(5))}
     for blob in blobs(0):
-        keys, number, names, a, b, counts = _read_pairs(blob)
-        to = _shard(keys, int(rows["shards"].iloc[0]))
-        sums = np.zeros((5 * (FOLDS + 1), len(keys)))
-        for s, reply in replies.items():
-            sums[:, to == s] = np.stack(_unpack(reply))
-        c = _without(counts)
-        v = np.zeros((FOLDS + 1, len(a)), np.float32)
+        words, number, names, a, b, counts = _read_pairs(blob)
+        if pool:
+            words, number, names, a, b, counts = _pooled(words, number, names, a, b, counts)
+        sums = np.zeros((5 * (FOLDS + 1), len(words)), np.int64)
+        for s, where in _split(_shard(words, shards)):
+            sums[:, where] = np.stack(_unpack(replies[int(s)]))
+        keys = _own(words, number, names)
+        use, at = wanted(_mix(keys[a], keys[b]))
+        a, b, c = a[use], b[use], _without(counts[:, use])
         for k in range(FOLDS + 1):
             p, g, _, _, e = word_scores(sums, number, names, k)
             on = np.flatnonzero(c[k] > 0)
             x, n = c[k][on], number[a[on]]
-            v[k, on] = np.log1p((x - cut(x, e[:, n])) / (g[a[on]] * p[b[on]]))
-        out.append((_mix(keys[a], keys[b]), v))
-    keys, v = np.concatenate([k for k, _ in out]), np.concatenate([x for _, x in out], axis=1)
-    order = np.argsort(keys)
-    return keys[order], v[:, order]
+            out[k, at[on]] = np.log1p((x - cut(x, e[:, n])) / (g[a[on]] * p[b[on]]))
+    return out
 
 
 def _answer(key, rows):
     """Sums of the scores of what each text asks of a shard."""
     import pandas as pd
 
-    keys, v = _values(rows)
-    keys, v = np.append(keys, np.uint64(2**64 - 1)), np.append(v, np.zeros((FOLDS + 1, 1), np.float32), axis=1)
+    questions = rows.loc[rows["kind"] == 7, "blob"]
+    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(_unpack(blob)[3]) for blob in questions)]))
+    v = _values(rows, keys)
     ids, sums = [], []
-    for blob in rows.loc[rows["kind"] == 7, "blob"]:
+    for blob in questions:
         row, fold, per, asked, step, times = _unpack(blob)
-        asked, per = np.cumsum(asked), per.astype(np.int64)
-        at = np.searchsorted(keys[:-1], asked)
-        at = np.where(keys[at] == asked, at, len(keys) - 1)
+        at, per = np.searchsorted(keys, np.cumsum(asked)), per.astype(np.int64)
         doc = np.repeat(np.arange(len(row)), per)
         k = np.cumsum(step.astype(np.int64))
         first = np.cumsum(per) - per
@@ -471,7 +510,7 @@ def _answer(key, rows):
     return pd.DataFrame({"_id": np.concatenate(ids or none).astype(np.int64), "v": np.concatenate(sums or none)})
 
 
-def score(rows: DataFrame, table: DataFrame, languages: DataFrame, shards: int = 4, salts: int = 1) -> DataFrame:
+def score(rows: DataFrame, table: DataFrame, languages: DataFrame, shards: int = 4, salts: int = 1, pool: bool = False) -> DataFrame:
     """Rows (name, fold, text, ...) with ``perplexity`` for the text: their words and word pairs joined to the count table, shard by shard.
 
     ``salts``: into how many tasks the questions to a shard are divided. Texts may not be empty or null.
@@ -486,7 +525,7 @@ def score(rows: DataFrame, table: DataFrame, languages: DataFrame, shards: int =
     told = table.filter("kind in (2, 3)").select("shard", "name").distinct().join(own, F.col("name").eqNullSafe(F.col("of"))).select("shard", F.lit(6).alias("kind"), "name", F.col("told").alias("values"), F.lit(None).cast("binary").alias("blob"))
     model = table.filter("kind in (0, 4, 5)").union(told).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     ask = asked.filter("_shard is not null").select(F.col("_shard").alias("shard"), F.lit(7).alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("array<double>").alias("values"), F.col("_blob").alias("blob"), F.col("_salt").alias("salt"))
-    answers = model.union(ask).withColumn("shards", F.lit(shards)).repartition(shards * salts, "shard", "salt").groupBy("shard", "salt").applyInPandas(_answer, "_id long, v double")
+    answers = model.union(ask).withColumn("shards", F.lit(shards)).withColumn("pool", F.lit(pool)).repartition(shards * salts, "shard", "salt").groupBy("shard", "salt").applyInPandas(_answer, "_id long, v double")
     answers = answers.groupBy("_id").agg(F.sum("v").alias("v"))
     docs = asked.filter("_shard is null").join(few.withColumnRenamed("name", "of").drop("values"), F.col("name").eqNullSafe(F.col("of")), "left")
     unk = F.coalesce(F.element_at(F.array(*(f"unk{k}" for k in range(FOLDS + 1))), F.col("fold") + 1), F.lit(0.0))
@@ -528,20 +567,22 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, quantile: float = 0.98, do
     full = told.filter(size > 0)
     with _shuffles_removed(docs.sparkSession):
         found = materialize(full.groupBy("lang").agg(F.sum(size).alias("n"), F.sum(F.when(F.col("fold") > 0, size)).alias("known")), "quality-found")
-        n, known, strangers = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.bool_or(F.expr("known is null or lang is null")), F.lit(False))).first()
-        own = found.filter("known is not null and lang is not null").select(F.col("lang").alias("own"))
+        has = F.col("known").isNotNull() & (F.col("lang") != NAMELESS)
+        n, known, strangers = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.bool_or(~has | F.col("lang").isNull()), F.lit(False))).first()
+        own = found.filter(has).select(F.col("lang").alias("own"))
         own = F.broadcast(own) if own.limit(100_001).count() <= 100_000 else own
         named = full.join(own, F.col("lang") == F.col("own"), "left").withColumnRenamed("own", "name")
         learn = named.filter("fold > 0 and name is not null").select("name", "fold", "text")
+        # Trusted texts without a language count for nothing but the pool, under a name that no language has.
         if strangers:
-            learn = learn.union(full.filter("fold > 0").select(F.lit(None).cast("string"), "fold", "text"))
-        shards = max(4, -(-known * (1 + strangers) // SHARD_CHARS))
+            learn = learn.union(named.filter("fold > 0 and name is null").select(F.lit(NAMELESS), "fold", "text"))
+        shards = max(4, -(-known // SHARD_CHARS))
         salts = max(1, -(-n // (ROUNDS * shards * SHARD_CHARS)))
-        table, languages = train(learn, shards)
+        table, languages = train(learn, shards, strangers)
         scored = materialize(told.filter(size == 0).select("d", "lang", "fold", F.lit(None).cast("double").alias("perplexity")), "quality-scores")
         for turn in range(ROUNDS):
             part = named.filter(F.pmod(F.xxhash64("d", "text"), F.lit(ROUNDS)) == turn)
-            scored = scored.union(score(part, table, languages, shards, salts).select("d", "lang", "fold", "perplexity"))
+            scored = scored.union(score(part, table, languages, shards, salts, strangers).select("d", "lang", "fold", "perplexity"))
     known = scored.filter("fold > 0 and perplexity is not null")
     cut = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10000).alias("own"))
     every = known.agg(F.percentile_approx("perplexity", quantile, 10000)).first()[0]

@@ -468,6 +468,12 @@ def test_word_pair_scores_match_plain_kneser_ney(spark, monkeypatch):
         assert len(got) == len(rows) == out.count()
         for k, n, f, t in rows:
             assert got[k] == pytest.approx(naive_pair_model([x for m, g, x in made if m == n and g != (f or None)])(t), rel=1e-4)
+    # All languages together, with the words and pairs that they share.
+    pooled = spark.createDataFrame([(k, None, f, t) for k, _, f, t in rows[:20]], "row long, name string, fold int, text string")
+    table, languages = quality.train(spark.createDataFrame(made, "name string, fold int, text string"), 3, True)
+    for x in quality.score(pooled, table, languages, 3, 1, True).collect():
+        want = naive_pair_model([x2 for _, g, x2 in made if g != (x.fold or None)])(rows[x.row][3])
+        assert x.perplexity == pytest.approx(want, rel=1e-4)
     # The counts grow with the texts: three pairs each.
     once = lambda df: quality.train(df)[0].filter("kind = 2").agg(F.sum(F.get("values", F.lit(0)))).first()[0]
     more = spark.createDataFrame([("en", 1, f"word{k} other{k}") for k in range(500)], "name string, fold int, text string")
