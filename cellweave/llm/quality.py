@@ -30,16 +30,17 @@ N, CLASSES = 4, 32
 #: A run of letters, marks and digits; one character of a script without spaces; one other symbol.
 _ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
 WORD = rf"(?V1)[{_ALONE}]|[\p{{L}}\p{{M}}\p{{N}}--[{_ALONE}]]+|[^\s\p{{Z}}]"
-_FULL, _PLAIN = regex.compile(WORD), re.compile(r"[a-z0-9]+|[^a-z0-9\t-\r\x20]")
+#: The same in characters where it can be said in fewer words, and what lies outside them.
+_FULL, _QUICK, _OUTSIDE = regex.compile(WORD), re.compile(r"[^\W_]+|[^\t-\r\x20\x85\xa0]"), re.compile("[^\x00-\u02af\u0386-\u03ff\u0400-\u0482\u048a-\u04ff\u2010-\u2027\u20ac]")
 #: Parts of the trusted texts that are left out in turn.
 FOLDS = 4
 #: Words of a block of texts, and trusted characters (and characters asked for at once) of a shard: what a task holds.
-BLOCK_WORDS, SHARD_CHARS = 2_000_000, 8_000_000
+BLOCK_WORDS, SHARD_CHARS = 600_000, 8_000_000
 #: Stands for trusted texts without a language.
 NAMELESS = "\0"
 #: Turns in which documents are scored, so that only a part of their words lies on disk at a time.
 ROUNDS = 6
-#: Between tasks: 0 pairs of a shard, 1 words of a pair shard, 2 and 3 sums of pairs and words by name, 4 words of a shard, 5 sums sent back, 6 languages, 7 questions.
+#: Between tasks: 0 pairs of a shard, 1 words of a pair shard, 2 and 3 sums of pairs and words by name, 4 words of a shard, 5 sums sent back, 6 languages, 7 questions, 8 texts.
 MESSAGE = "shard long, kind int, name string, values array<double>, blob binary"
 
 
@@ -106,7 +107,7 @@ def discounts(n: list[Column]) -> list[Column]:
 def _words(text: str, ids) -> np.ndarray:
     """Numbers of a text start, its words and a text end (two spaces) in the growing dictionary ``ids``."""
     text = text.lower()
-    pattern = _PLAIN if text.isascii() else _FULL
+    pattern = _FULL if _OUTSIDE.search(text) else _QUICK
     found = pattern.findall(text) if len(text) < 1_000_000 else (m[0] for m in pattern.finditer(text))
     n = ids[""], ids["  "]
     return np.concatenate([[n[0]], np.fromiter(map(ids.__getitem__, found), np.int64), [n[1]]])
@@ -137,7 +138,7 @@ def _pack(*arrays: np.ndarray) -> bytes:
     arrays = [np.ascontiguousarray(a) for a in arrays]
     head = json.dumps([(a.dtype.str, len(a)) for a in arrays]).encode()
     body = b"".join(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays)
-    return zstandard.compress(len(head).to_bytes(4, "little") + head + body, 1)
+    return zstandard.compress(len(head).to_bytes(4, "little") + head + body, 3)
 
 
 def _unpack(blob: bytes) -> list[np.ndarray]:
@@ -181,8 +182,10 @@ def _blocks(batches):
                 kept.append(r)
                 n += len(texts[-1])
                 if n >= BLOCK_WORDS:
-                    yield block()
+                    made = block()
                     dictionaries, kept, texts, n = {}, [], [], 0
+                    yield made
+                    del made
     if kept:
         yield block()
 
@@ -323,14 +326,21 @@ def _merge_pairs(shards: int, pool: bool):
         sums += [np.bincount(a, t, len(keys)) for test in (lambda x: x == 1, lambda x: x == 2, lambda x: x >= 3) for t in map(test, c)]
         sums = np.stack(sums).astype(np.int64)
         for t, m in _split(_shard(keys, shards)):
-            out.append(_message(t, 1, values=[float(s)], blob=_pack(_steps(keys[m]), number[m].astype(np.uint32), _names(names), *_small(sums[:, m]))))
+            out.append(_message(t, 1, values=[float(s)], blob=_pack(_steps(keys[m]), number[m].astype(np.uint32), _names(names), _flat(sums[:, m]))))
+        del keys, number, pair, a, b, at, counts, c, sums, places
+        release()
         return pd.DataFrame(out, columns=_arrow().names)
 
     return run
 
 
-def _small(sums: np.ndarray) -> np.ndarray:
-    return sums.astype(np.uint32 if not sums.size or sums.max() < 2**32 else np.uint64)
+def _flat(sums: np.ndarray) -> np.ndarray:
+    """Sums word by word: those of rare words repeat and compress well."""
+    return sums.T.astype(np.uint32 if not sums.size or sums.max() < 2**32 else np.uint64).ravel()
+
+
+def _sums(flat: np.ndarray) -> np.ndarray:
+    return flat.reshape(-1, 5 * (FOLDS + 1)).T.astype(np.int64)
 
 
 def _merge_words(key, rows):
@@ -339,14 +349,16 @@ def _merge_words(key, rows):
 
     s = int(key[0])
     parts = [_unpack(x) for x in rows["blob"]]
-    keys, number, names, places = _join_words([(np.cumsum(k), n.astype(np.int64), json.loads(own.tobytes())) for k, n, own, *_ in parts])
+    keys, number, names, places = _join_words([(np.cumsum(k), n.astype(np.int64), json.loads(own.tobytes())) for k, n, own, _ in parts])
     sums = np.zeros((5 * (FOLDS + 1), len(keys)), np.int64)
-    for (_, _, _, *own), w in zip(parts, places):
-        sums[:, w] += np.stack(own).astype(np.int64)
+    for (_, _, _, own), w in zip(parts, places):
+        sums[:, w] += _sums(own)
     after = sums[: FOLDS + 1]
-    out = [_message(s, 4, blob=_pack(_steps(keys), number.astype(np.uint32), _names(names), *_small(sums)))]
+    out = [_message(s, 4, blob=_pack(_steps(keys), number.astype(np.uint32), _names(names), _flat(sums)))]
     out += _stats(s, 3, number, names, lambda m: [*_times(after[:, m]), *after[:, m].sum(1), *(after[:, m] > 0).sum(1)])
-    out += [_message(v[0], 5, values=[float(s)], blob=_pack(*_small(sums[:, w]))) for v, w in zip(rows["values"], places)]
+    out += [_message(v[0], 5, values=[float(s)], blob=_pack(_flat(sums[:, w]))) for v, w in zip(rows["values"], places)]
+    del parts, keys, number, places, sums, after
+    release()
     return pd.DataFrame(out, columns=_arrow().names)
 
 
@@ -362,8 +374,13 @@ def train(trusted: DataFrame, shards: int = 4, pool: bool = False) -> tuple[Data
     """
     ks = range(FOLDS + 1)
     grouped = lambda df: df.repartition(shards, "shard").groupBy("shard")
-    pairs = materialize(grouped(_count(trusted, shards)).applyInPandas(_merge_pairs(shards, pool), MESSAGE), "quality-pairs")
+    spark = trusted.sparkSession
+    path = fresh_path(spark, "quality-pairs")
+    grouped(_count(trusted, shards)).applyInPandas(_merge_pairs(shards, pool), MESSAGE).write.partitionBy("kind").parquet(path)
+    pairs = spark.read.schema(MESSAGE).parquet(path).select("shard", "kind", "name", "values", "blob")
     words = materialize(grouped(pairs.filter("kind = 1")).applyInPandas(_merge_words, MESSAGE), "quality-words")
+    remove_path(spark, f"{path}/kind=1")
+    pairs = spark.read.schema(MESSAGE).parquet(path).select("shard", "kind", "name", "values", "blob")
     total = lambda df, kind, n: df.filter(f"kind = {kind}").groupBy("name").agg(*(F.sum(F.get("values", F.lit(i))).alias(f"x{i}") for i in range(n)))
     x = lambda i: F.col(f"x{i}")
     at = lambda k: [x(4 * k + r) for r in range(4)]
@@ -379,16 +396,17 @@ def train(trusted: DataFrame, shards: int = 4, pool: bool = False) -> tuple[Data
 
 
 def _requests(rows: DataFrame, shards: int, salts: int) -> DataFrame:
-    """All columns of rows but the text with ``_n``, the number of words and the text end; beside them, as rows of their own, (``_shard``, ``_salt``, ``_blob``): the words and pairs that a block asks a shard for."""
+    """What blocks of texts ask the shards (kind 7: their words and pairs), and a row for each text (kind 8): all columns but the text as ``_c0``, ``_c1``, ..., and ``_n``, the number of words and the text end."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     small_batches(rows.sparkSession)
-    source = rows.withColumn("_row", F.monotonically_increasing_id())
-    kept = StructType([f for f in source.schema.fields if f.name != "text"])
+    columns = [c for c in rows.columns if c != "text"]
+    source = rows.select(*(F.col(c).alias(f"_c{k}") for k, c in enumerate(columns)), F.col("name").alias("_name"), F.col("fold").alias("_fold"), "name", "text", F.monotonically_increasing_id().alias("_row"))
+    kept = StructType([f for f in source.schema.fields if f.name not in ("name", "text")])
     for f in kept.fields:
         f.nullable = True
-    schema = StructType(kept.fields + StructType.fromDDL("_n long, _shard long, _salt int, _blob binary").fields)
+    schema = StructType(kept.fields + StructType.fromDDL("_n long, _v double, shard long, salt int, kind int, blob binary").fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -413,15 +431,15 @@ def _requests(rows: DataFrame, shards: int, salts: int) -> DataFrame:
             who = what // len(every) % len(size)
             some, first = np.unique(to, return_index=True)
             lines = np.searchsorted(to[k], some)
-            ids, folds = (np.array([r[c] for r in own], np.int64) for c in ("_row", "fold"))
-            out = [r | {"_n": int(n) - 1} for r, n in zip(own, size)]
+            ids, folds = (np.array([r[c] for r in own], np.int64) for c in ("_row", "_fold"))
             salt = int(_mix(ids[:1].astype(np.uint64), np.uint64(0))[0]) % salts
+            out = [{c: r[c] for c in kept.names} | {"_n": int(n) - 1, "shard": r["_row"] % shards, "salt": salt, "kind": 8} for r, n in zip(own, size)]
             for s, key, line in zip(some, np.split(np.arange(len(every)), first[1:]), np.split(np.arange(len(k)), lines[1:])):
                 near, local = who[line], k[line] - key[0]
                 # Within a text steps, at its start the whole number.
                 step = np.where(np.diff(near, prepend=-1) == 0, _steps(local), local)
                 per = np.bincount(near, minlength=len(size))
-                out.append({"_shard": int(s), "_salt": salt, "_blob": _pack(_steps(ids), folds.astype(np.uint8), per.astype(np.uint32), _steps(every[key]), step.astype(np.uint32), times[line].astype(np.uint32))})
+                out.append({"shard": int(s), "salt": salt, "kind": 7, "blob": _pack(_steps(ids), folds.astype(np.uint8), per.astype(np.uint32), _steps(every[key]), step.astype(np.uint32), times[line].astype(np.uint32))})
             yield pa.RecordBatch.from_pylist(out, arrow)
         release()
 
@@ -461,10 +479,10 @@ def _values(rows, asked: np.ndarray) -> np.ndarray:
     if not len(asked):
         return out
     for blob in blobs(4):
-        words, number, names, *sums = _unpack(blob)
+        words, number, names, sums = _unpack(blob)
         names, number = json.loads(names.tobytes()), number.astype(np.int64)
         use, at = wanted(_own(np.cumsum(words), number, names))
-        number, sums = number[use], np.stack(sums)[:, use]
+        number, sums = number[use], _sums(sums)[:, use]
         for k in range(FOLDS + 1):
             p, g, m, u, _ = word_scores(sums, number, names, k)
             out[k, at] = np.log(p / u) + np.where(m > 0, np.log(np.where(m > 0, g, 1) / np.where(m > 0, m, 1)), 0)
@@ -475,7 +493,7 @@ def _values(rows, asked: np.ndarray) -> np.ndarray:
             words, number, names, a, b, counts = _pooled(words, number, names, a, b, counts)
         sums = np.zeros((5 * (FOLDS + 1), len(words)), np.int64)
         for s, where in _split(_shard(words, shards)):
-            sums[:, where] = np.stack(_unpack(replies[int(s)]))
+            sums[:, where] = _sums(*_unpack(replies[int(s)]))
         keys = _own(words, number, names)
         use, at = wanted(_mix(keys[a], keys[b]))
         a, b, c = a[use], b[use], _without(counts[:, use])
@@ -487,27 +505,32 @@ def _values(rows, asked: np.ndarray) -> np.ndarray:
     return out
 
 
-def _answer(key, rows):
-    """Sums of the scores of what each text asks of a shard."""
-    import pandas as pd
+def _answer(table):
+    """Sums of the scores of what each text asks of a shard, and the texts' own rows as they came."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-    questions = rows.loc[rows["kind"] == 7, "blob"]
-    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(_unpack(blob)[3]) for blob in questions)]))
+    rows = table.select(["shards", "pool", "kind", "name", "values", "blob"]).filter(pc.less(table["kind"], 8)).to_pandas()
+    questions = [_unpack(x) for x in rows.loc[rows["kind"] == 7, "blob"]]
+    keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(q[3]) for q in questions)]))
     v = _values(rows, keys)
-    ids, sums = [], []
-    for blob in questions:
-        row, fold, per, asked, step, times = _unpack(blob)
+    ids, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+    for row, fold, per, asked, step, times in questions:
         at, per = np.searchsorted(keys, np.cumsum(asked)), per.astype(np.int64)
         doc = np.repeat(np.arange(len(row)), per)
         k = np.cumsum(step.astype(np.int64))
         first = np.cumsum(per) - per
         k -= np.repeat((k - step)[first[per > 0]], per[per > 0])
         score = v[np.repeat(fold, per), at[k]].astype(np.float64) * times
-        some = per > 0
-        ids.append(np.cumsum(row)[some])
-        sums.append(np.bincount(doc, score, len(row))[some])
-    none = [np.zeros(0)]
-    return pd.DataFrame({"_id": np.concatenate(ids or none).astype(np.int64), "v": np.concatenate(sums or none)})
+        ids.append(np.cumsum(row)[per > 0])
+        sums.append(np.bincount(doc, score, len(row))[per > 0])
+    del questions, keys, v, rows
+    release()
+    names = [c for c in table.column_names if c not in ("shards", "pool", "salt", "shard", "kind", "name", "values", "blob")]
+    own = table.filter(pc.equal(table["kind"], 8)).select(names)
+    n = sum(map(len, ids))
+    made = {"_row": pa.array(np.concatenate(ids)), "_v": pa.array(np.concatenate(sums))}
+    return pa.concat_tables([own, pa.table([made.get(f.name, pa.nulls(n, f.type)) for f in own.schema], schema=own.schema)])
 
 
 def score(rows: DataFrame, table: DataFrame, languages: DataFrame, shards: int = 4, salts: int = 1, pool: bool = False) -> DataFrame:
@@ -515,24 +538,21 @@ def score(rows: DataFrame, table: DataFrame, languages: DataFrame, shards: int =
 
     ``salts``: into how many tasks the questions to a shard are divided. Texts may not be empty or null.
     """
-    spark = rows.sparkSession
-    path = fresh_path(spark, "quality-requests")
-    questions = _requests(rows, shards, salts)
-    questions.write.parquet(path)
-    asked = spark.read.schema(questions.schema).parquet(path)
+    asked = _requests(rows, shards, salts)
     few = F.broadcast(languages) if languages.limit(10_001).count() <= 10_000 else languages
     own = few.select(F.col("name").alias("of"), F.col("values").alias("told"))
     told = table.filter("kind in (2, 3)").select("shard", "name").distinct().join(own, F.col("name").eqNullSafe(F.col("of"))).select("shard", F.lit(6).alias("kind"), "name", F.col("told").alias("values"), F.lit(None).cast("binary").alias("blob"))
     model = table.filter("kind in (0, 4, 5)").union(told).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    ask = asked.filter("_shard is not null").select(F.col("_shard").alias("shard"), F.lit(7).alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("array<double>").alias("values"), F.col("_blob").alias("blob"), F.col("_salt").alias("salt"))
-    answers = model.union(ask).withColumn("shards", F.lit(shards)).withColumn("pool", F.lit(pool)).repartition(shards * salts, "shard", "salt").groupBy("shard", "salt").applyInPandas(_answer, "_id long, v double")
-    answers = answers.groupBy("_id").agg(F.sum("v").alias("v"))
-    docs = asked.filter("_shard is null").join(few.withColumnRenamed("name", "of").drop("values"), F.col("name").eqNullSafe(F.col("of")), "left")
-    unk = F.coalesce(F.element_at(F.array(*(f"unk{k}" for k in range(FOLDS + 1))), F.col("fold") + 1), F.lit(0.0))
-    docs = docs.join(answers, F.col("_row") == F.col("_id"), "left")
-    out = materialize(docs.select(*(c for c in rows.columns if c != "text"), F.exp(-(F.coalesce("v", F.lit(0.0)) / F.col("_n") + unk)).alias("perplexity")), "quality-scores")
-    remove_path(spark, path)
-    return out
+    kept = [c for c in asked.columns if c not in ("shard", "kind", "salt", "blob")]
+    sent = model.unionByName(asked, allowMissingColumns=True).withColumn("shards", F.lit(shards)).withColumn("pool", F.lit(pool))
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(kept).schema)
+    answers = sent.repartition(shards * salts, "shard", "salt").groupBy("shard", "salt").applyInArrow(_answer, out)
+    # Of the rows of a text one is its own, and the others hold sums.
+    docs = answers.groupBy("_row").agg(*(F.first(c, ignorenulls=True).alias(c) for c in kept if c not in ("_row", "_v")), F.sum("_v").alias("v"))
+    docs = docs.join(few.select(F.col("name").alias("of"), *(f"unk{k}" for k in range(FOLDS + 1))), F.col("_name").eqNullSafe(F.col("of")), "left")
+    unk = F.coalesce(F.element_at(F.array(*(f"unk{k}" for k in range(FOLDS + 1))), F.col("_fold") + 1), F.lit(0.0))
+    own = [F.col(f"_c{k}").alias(c) for k, c in enumerate(c for c in rows.columns if c != "text")]
+    return materialize(docs.select(*own, F.exp(-(F.coalesce("v", F.lit(0.0)) / F.col("_n") + unk)).alias("perplexity")), "quality-scores")
 
 
 @contextmanager

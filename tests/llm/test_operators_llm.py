@@ -486,6 +486,8 @@ def test_long_texts_and_other_characters_give_the_same_words():
         far = quality._words(t + " " * 1_000_000, ids)
         assert quality._words(t, ids).tolist() == far.tolist()
     assert [w for w in ids if w not in ("", "  ")] == ["ab", "c", "-", "9", "é", "собака", "日", "本", "x\u0301y", "plain", "words", ",", "12", "and", "more", "\x1c", "z"]
+    near = "".join(c for c in map(chr, range(0x2100)) if not quality._OUTSIDE.search(c))
+    assert len(near) > 1000 and quality._QUICK.findall(near) == quality._FULL.findall(near)
     x = [np.array([5, 2**63], np.uint64), np.zeros(0, np.uint32), np.array([-1, 7])]
     assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(x, quality._unpack(quality._pack(*x)), strict=True))
 
