@@ -406,7 +406,7 @@ def _requests(rows: DataFrame, shards: int, salts: int) -> DataFrame:
     kept = StructType([f for f in source.schema.fields if f.name not in ("name", "text")])
     for f in kept.fields:
         f.nullable = True
-    schema = StructType(kept.fields + StructType.fromDDL("_n long, _v double, shard long, salt int, kind int, blob binary").fields)
+    schema = StructType(kept.fields + StructType.fromDDL("_n long, _block long, _v binary, shard long, salt int, kind int, blob binary").fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
@@ -433,13 +433,13 @@ def _requests(rows: DataFrame, shards: int, salts: int) -> DataFrame:
             lines = np.searchsorted(to[k], some)
             ids, folds = (np.array([r[c] for r in own], np.int64) for c in ("_row", "_fold"))
             salt = int(_mix(ids[:1].astype(np.uint64), np.uint64(0))[0]) % salts
-            out = [{c: r[c] for c in kept.names} | {"_n": int(n) - 1, "shard": r["_row"] % shards, "salt": salt, "kind": 8} for r, n in zip(own, size)]
+            out = [{c: r[c] for c in kept.names} | {"_n": int(n) - 1, "_block": int(ids[0]), "shard": r["_row"] % shards, "salt": salt, "kind": 8} for r, n in zip(own, size)]
             for s, key, line in zip(some, np.split(np.arange(len(every)), first[1:]), np.split(np.arange(len(k)), lines[1:])):
                 near, local = who[line], k[line] - key[0]
                 # Within a text steps, at its start the whole number.
                 step = np.where(np.diff(near, prepend=-1) == 0, _steps(local), local)
                 per = np.bincount(near, minlength=len(size))
-                out.append({"shard": int(s), "salt": salt, "kind": 7, "blob": _pack(_steps(ids), folds.astype(np.uint8), per.astype(np.uint32), _steps(every[key]), step.astype(np.uint32), times[line].astype(np.uint32))})
+                out.append({"shard": int(s), "salt": salt, "kind": 7, "_block": int(ids[0]), "blob": _pack(_steps(ids), folds.astype(np.uint8), per.astype(np.uint32), _steps(every[key]), step.astype(np.uint32), times[line].astype(np.uint32))})
             yield pa.RecordBatch.from_pylist(out, arrow)
         release()
 
@@ -459,10 +459,16 @@ def _values(rows, asked: np.ndarray) -> np.ndarray:
     out = np.zeros((FOLDS + 1, len(asked)), np.float32)
     shards, pool = int(rows["shards"].iloc[0]), bool(rows["pool"].iloc[0])
 
+    # A first look that most other keys don't pass.
+    seen, low = np.zeros(1 << 22, bool), np.uint64((1 << 22) - 1)
+    seen[asked & low] = True
+
     def wanted(keys):
+        near = np.flatnonzero(seen[keys & low])
+        keys = keys[near]
         at = np.minimum(np.searchsorted(asked, keys), len(asked) - 1)
         use = np.flatnonzero(asked[at] == keys)
-        return use, at[use]
+        return near[use], at[use]
 
     def cut(c, d):
         return np.where(c >= 3, d[2], np.where(c == 2, d[1], np.where(c == 1, d[0], 0)))
@@ -489,14 +495,25 @@ def _values(rows, asked: np.ndarray) -> np.ndarray:
     replies = {int(v[0]): b for v, b in zip(rows.loc[rows["kind"] == 5, "values"], blobs(5))}
     for blob in blobs(0):
         words, number, names, a, b, counts = _read_pairs(blob)
-        if pool:
-            words, number, names, a, b, counts = _pooled(words, number, names, a, b, counts)
+        keys = _own(words, number, names)
+        use, at = wanted(_mix(keys[a], keys[b]))
+        x, y, c = a[use], b[use], counts[:, use]
+        if pool:  # as _pooled has them, but only what is asked
+            alone, place = np.unique(words, return_inverse=True)
+            keys = _own(alone, np.zeros(len(alone), np.int64), [None])
+            use, near = wanted(_mix(keys[place[a]], keys[place[b]]))
+            near, first, which = np.unique(near, return_index=True, return_inverse=True)
+            both = np.stack([np.bincount(which, n, len(near)) for n in counts[:, use]]).astype(np.int64)
+            use = use[first]
+            x, y = (np.concatenate([o, place[z[use]] + len(words)]) for o, z in ((x, a), (y, b)))
+            at, c = np.concatenate([at, near]), np.concatenate([c, both], axis=1)
+            words, number, names = np.concatenate([words, alone]), np.concatenate([number, np.full(len(alone), len(names))]), [*names, None]
         sums = np.zeros((5 * (FOLDS + 1), len(words)), np.int64)
         for s, where in _split(_shard(words, shards)):
             sums[:, where] = _sums(*_unpack(replies[int(s)]))
-        keys = _own(words, number, names)
-        use, at = wanted(_mix(keys[a], keys[b]))
-        a, b, c = a[use], b[use], _without(counts[:, use])
+        need, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+        a, b = place[: len(x)], place[len(x) :]
+        number, sums, c = number[need], sums[:, need], _without(c)
         for k in range(FOLDS + 1):
             p, g, _, _, e = word_scores(sums, number, names, k)
             on = np.flatnonzero(c[k] > 0)
@@ -506,15 +523,16 @@ def _values(rows, asked: np.ndarray) -> np.ndarray:
 
 
 def _answer(table):
-    """Sums of the scores of what each text asks of a shard, and the texts' own rows as they came."""
+    """Of each block that asks a shard the sums of its texts, and the texts' own rows as they came."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     rows = table.select(["shards", "pool", "kind", "name", "values", "blob"]).filter(pc.less(table["kind"], 8)).to_pandas()
+    blocks = table.filter(pc.equal(table["kind"], 7))["_block"]
     questions = [_unpack(x) for x in rows.loc[rows["kind"] == 7, "blob"]]
     keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(q[3]) for q in questions)]))
     v = _values(rows, keys)
-    ids, sums = [np.zeros(0, np.int64)], [np.zeros(0)]
+    sums = []
     for row, fold, per, asked, step, times in questions:
         at, per = np.searchsorted(keys, np.cumsum(asked)), per.astype(np.int64)
         doc = np.repeat(np.arange(len(row)), per)
@@ -522,15 +540,25 @@ def _answer(table):
         first = np.cumsum(per) - per
         k -= np.repeat((k - step)[first[per > 0]], per[per > 0])
         score = v[np.repeat(fold, per), at[k]].astype(np.float64) * times
-        ids.append(np.cumsum(row)[per > 0])
-        sums.append(np.bincount(doc, score, len(row))[per > 0])
+        sums.append(_pack(np.bincount(doc, score, len(row))))
     del questions, keys, v, rows
     release()
     names = [c for c in table.column_names if c not in ("shards", "pool", "salt", "shard", "kind", "name", "values", "blob")]
     own = table.filter(pc.equal(table["kind"], 8)).select(names)
-    n = sum(map(len, ids))
-    made = {"_row": pa.array(np.concatenate(ids)), "_v": pa.array(np.concatenate(sums))}
-    return pa.concat_tables([own, pa.table([made.get(f.name, pa.nulls(n, f.type)) for f in own.schema], schema=own.schema)])
+    made = {"_block": blocks, "_v": pa.array(sums, own.schema.field("_v").type)}
+    return pa.concat_tables([own, pa.table([made.get(f.name, pa.nulls(len(sums), f.type)) for f in own.schema], schema=own.schema)])
+
+
+def _block_sums(table):
+    """A block's texts, in the order of their ids, with the sums of all shards' answers."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    own = table.filter(pc.is_valid(table["_n"])).sort_by("_row")
+    total = np.zeros(own.num_rows)
+    for blob in table.filter(pc.is_valid(table["_v"]))["_v"]:
+        total += _unpack(blob.as_py())[0]
+    return own.drop_columns(["_v", "_block"]).append_column("v", pa.array(total))
 
 
 def score(rows: DataFrame, table: DataFrame, languages: DataFrame, shards: int = 4, salts: int = 1, pool: bool = False) -> DataFrame:
@@ -547,12 +575,12 @@ def score(rows: DataFrame, table: DataFrame, languages: DataFrame, shards: int =
     sent = model.unionByName(asked, allowMissingColumns=True).withColumn("shards", F.lit(shards)).withColumn("pool", F.lit(pool))
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(kept).schema)
     answers = sent.repartition(shards * salts, "shard", "salt").groupBy("shard", "salt").applyInArrow(_answer, out)
-    # Of the rows of a text one is its own, and the others hold sums.
-    docs = answers.groupBy("_row").agg(*(F.first(c, ignorenulls=True).alias(c) for c in kept if c not in ("_row", "_v")), F.sum("_v").alias("v"))
+    last = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select([c for c in kept if c not in ("_v", "_block")]).schema)
+    docs = answers.groupBy("_block").applyInArrow(_block_sums, f"{last}, v double")
     docs = docs.join(few.select(F.col("name").alias("of"), *(f"unk{k}" for k in range(FOLDS + 1))), F.col("_name").eqNullSafe(F.col("of")), "left")
     unk = F.coalesce(F.element_at(F.array(*(f"unk{k}" for k in range(FOLDS + 1))), F.col("_fold") + 1), F.lit(0.0))
     own = [F.col(f"_c{k}").alias(c) for k, c in enumerate(c for c in rows.columns if c != "text")]
-    return materialize(docs.select(*own, F.exp(-(F.coalesce("v", F.lit(0.0)) / F.col("_n") + unk)).alias("perplexity")), "quality-scores")
+    return materialize(docs.select(*own, F.exp(-(F.col("v") / F.col("_n") + unk)).alias("perplexity")), "quality-scores")
 
 
 @contextmanager
