@@ -480,6 +480,17 @@ def test_word_pair_scores_match_plain_kneser_ney(spark, monkeypatch):
     assert once(more) == 2 * once(more.limit(250)) == 1500
 
 
+def test_quality_of_empty_and_odd_tables(spark):
+    columns, good = "doc_id long, text string, lang string", spark.createDataFrame([(3,), (4,), (5,)], "doc_id long")
+    assert quality.classify(spark.createDataFrame([], columns), good).collect() == []
+    rows = [(1, None, None), (2, "", "en"), (3, "a b c", "\0"), (4, "a b c", None), (5, "x" * 1_200_000 + " b c" * 10, "en"), (5, "a b", "en"), (6, "b", "fr")]
+    out = quality.classify(spark.createDataFrame(rows, columns), good).collect()
+    assert sorted(r.doc_id for r in out) == [1, 2, 3, 4, 5, 5, 6]
+    assert {r.doc_id for r in out if r.perplexity is None} == {1, 2} == {r.doc_id for r in out if not r.keep}
+    # A language named like the mark of texts without one is scored as those are.
+    assert len({r.perplexity for r in out if r.doc_id in (3, 4)}) == 1
+
+
 def test_long_texts_and_other_characters_give_the_same_words():
     ids = quality._dictionary()
     for t in ("Ab c-9 é собака 日本 x\u0301y", "plain words, 12 and more", "\x1c\x85 \u3000z"):
